@@ -97,3 +97,61 @@ SELECT page_id, n AS payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id
 """
 
 ORACLE_SQL = {"op2_quality_rules": _OP2, "op3_url_filter": _OP3, "op4_mixing": _OP4, "op9_warc": _OP9}
+
+
+def op5_quality_classifier(spark, sf_dir):
+    from . import quality_qda as q
+
+    docs, part = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = q.fit(docs, table(spark, sf_dir, "labels").where(part != 1))
+    return q.score(docs, model).select("doc_id", (F.coalesce(part, F.lit(-1)) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from . import bpe
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES |= {f.__name__: f for f in (op5_quality_classifier, op7_bpe)}
+
+
+def op1_near_dedup(spark, sf_dir):
+    from . import near_dedup
+
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=85)
+
+
+def op6_top_k(spark, sf_dir):
+    from . import knn
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return knn.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+def op8_suffix_dedup(spark, sf_dir):
+    from . import suffix_dedup
+
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    from . import toxicity
+
+    docs, part = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(part != 0))
+    return toxicity.score(docs, model).select("doc_id", (F.coalesce(part, F.lit(-1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_near_dedup, op6_top_k, op8_suffix_dedup, op10_toxicity)}
+
+_OP6 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v AS q, v AS c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10
+"""
+
+ORACLE_SQL |= {"op6_top_k": _OP6}
