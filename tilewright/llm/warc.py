@@ -54,16 +54,19 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     given = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), payload.alias("payload"))
     digested = given.withColumns({"sha256": F.sha2("payload", 256), "sha1": sha1_base32(F.col("payload")), "n": F.octet_length("payload").cast("long")})
-    groups = digested.groupBy("sha256").agg(F.max("key").alias("largest"), F.min("sha1").alias("sha1"), F.max("sha1").alias("other"), F.min("n").alias("n"), F.max("n").alias("most"))
+    digests = digested.drop("payload", "url").groupBy("sha256", "key").agg(F.count("*").alias("times"), F.min("sha1").alias("sha1"), F.max("sha1").alias("other"), F.min("n").alias("n"), F.max("n").alias("most"))
+    groups = digests.groupBy("sha256").agg(F.max("key").alias("largest"), F.max_by("times", "key").alias("times"), F.min("sha1").alias("sha1"), F.max("other").alias("other"), F.min("n").alias("n"), F.max("most").alias("most"))
     same = (F.col("sha1") == F.col("other")) & (F.col("n") == F.col("most"))
     groups = groups.withColumn("sha1", F.when(same, F.col("sha1")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256"))))
     rows = digested.drop("payload", "sha1", "n").join(groups.select("sha256", "largest", "sha1", "n"), "sha256")
     kind = F.when((F.col("n") >= least) & F.col("largest").isNotNull() & ~F.col("key").eqNullSafe(F.col("largest")), F.lit("revisit")).otherwise(F.lit("response"))
-    rows.select("sha256", kind.alias("kind"), _header(kind).cast("binary").alias("header")).write.parquet(f"{path}/records")
+    rows.select("sha256", kind.alias("kind"), _header(kind).cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
     # The payload of a digest comes from its response, so copies never travel.
-    first = digested.select("key", "sha256", "payload").join(groups.select("sha256", "largest"), "sha256")
-    first = first.where(F.col("key").eqNullSafe(F.col("largest"))).dropDuplicates(["sha256"])
-    first.select("sha256", "payload").write.parquet(f"{path}/payloads")
+    first = digested.select("key", "sha256", "payload").join(groups.select("sha256", "largest", F.coalesce("times", F.lit(2)).alias("times")), "sha256")
+    first = first.where(F.col("key").eqNullSafe(F.col("largest"))).select("sha256", "payload", "times")
+    # Only rows that repeat a key and a payload need a second shuffle to be one.
+    once = first.where("times = 1").drop("times").unionByName(first.where("times > 1").drop("times").dropDuplicates(["sha256"]))
+    once.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
