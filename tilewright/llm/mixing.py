@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words_of, written
+from .common import n_words_of, words_of, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -46,10 +46,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP, share: flo
     return filled.select("source", "source_size", "rank", target.alias("target"), _cycle(tilts, F.col("rank")).cast("double").alias("tilt"))
 
 
-def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = CAP, share: float = 1.0, tilts=TILTS) -> DataFrame:
-    """(key, size, source_size, target, taken, position), unsorted; position is null where nothing is taken."""
+def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = CAP, share: float = 1.0, tilts=TILTS, carry: bool = False) -> DataFrame:
+    """(key, size, source_size, target, taken, position), unsorted; position is null where nothing is taken.
+
+    With carry, the whole row comes along as the struct `row`."""
     h = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
-    sized = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words_of(F.col(text)).alias("size"), h.alias("h")), "mix-sizes")
+    row = [F.struct("*").alias("row")] * carry
+    sized = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words_of(F.col(text)).alias("size"), h.alias("h"), *row), "mix-sizes")
     # Buckets are prefixes of the hash, so they are ordered as the documents; their number follows the table.
     n = sized.count()
     digits = max(1, min(7, len(f"{max(1, n // 4000):x}")))
@@ -67,7 +70,7 @@ def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     plan = s.join(g, F.col("s.source").eqNullSafe(F.col("g.source"))).select(F.col("s.source").alias("source"), "bucket", "bucket_before", "source_size", "target", "tilt")
     d, p = sized.alias("d"), plan.alias("p")
     placed = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket")), "left")
-    placed = placed.select("key", "size", F.col("d.source").alias("source"), F.col("d.bucket").alias("bucket"), "h", "bucket_before", "source_size", "target", "tilt")
+    placed = placed.select("key", "size", F.col("d.source").alias("source"), F.col("d.bucket").alias("bucket"), "h", "bucket_before", "source_size", "target", "tilt", *["row"] * carry)
     own = Window.partitionBy("source", "bucket").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("before", F.col("bucket_before") + F.coalesce(F.sum("size").over(own), F.lit(0)))
     due = F.round("target").cast("long")
@@ -79,10 +82,25 @@ def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     a = F.col("tilt")
     root = F.when(a == 0, behind).otherwise((a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * behind)) / (2 * a))
     out = placed.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, root))
-    return out.select(F.col("key").alias(key), "size", "source_size", "target", "taken", "position")
+    return out.select(F.col("key").alias(key), "size", "source_size", "target", "taken", "position", *["row"] * carry)
 
 
 def curriculum(docs: DataFrame, **how) -> DataFrame:
     """take() range-sorted by training position; rows that the mix leaves out come last."""
     key = how.get("key", "doc_id")
     return take(docs, **how).orderBy(F.col("position").asc_nulls_last(), key)
+
+
+def mixed(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The rows of the mix itself, with the columns of docs, range-sorted by position.
+
+    A document stands there once per whole epoch taken, and once more with its first words where an epoch takes it in part
+    (these words joined by single spaces); documents of which nothing is taken are absent."""
+    got = take(docs, text=text, carry=True, **how).where("taken > 0")
+    rest = F.col("taken") % F.col("size")
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    each = got.select("position", "size", "taken", "row", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+    part = (rest > 0) & (F.col("copy") == copies)
+    body = F.when(part, F.array_join(F.slice(words_of(F.col(f"row.{text}")), F.lit(1), rest.cast("int")), " ")).otherwise(F.col(f"row.{text}"))
+    columns = [body.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return each.orderBy(F.col("position") + F.col("copy") - 1).select(*columns)

@@ -253,6 +253,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+def deduplicated(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs without those that are not their component's smallest id; rows with a null id stay."""
+    gone = near_duplicates(docs, key=key, **how).where("not kept").select(key).distinct()
+    return docs.join(gone, key, "left_anti").select(*docs.columns)
+
+
 def expected_miss(threshold: int, bands: int = BANDS) -> float:
     """The chance that a pair exactly at the threshold shares fewer than two keys."""
     p = (threshold / 100) ** band_rows(threshold, bands)

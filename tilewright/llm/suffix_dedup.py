@@ -220,31 +220,41 @@ class Chunk:
         return np.unique(self.short)
 
 
-def _chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(chunk, ids, sizes, size, blob): whole documents packed up to CHUNK bytes, compressed."""
+def _chunks(docs: DataFrame, key: str, text: str, carry: bool) -> DataFrame:
+    """(chunk, ids, sizes, size, blob, rest): whole documents packed up to CHUNK bytes, compressed; rest: their other columns."""
     from pyspark import TaskContext
+    from pyspark.sql.pandas.types import to_arrow_type
 
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("size", T.LongType()), T.StructField("blob", T.BinaryType())])
+    other = T.StructType([f for f in docs.schema.fields if f.name != text] if carry else [])
+    if other.fields:
+        schema.add("rest", T.ArrayType(other))
+    kinds = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("size", pa.int64()), ("blob", pa.binary())])
+    if other.fields:
+        kinds = kinds.append(pa.field("rest", pa.list_(to_arrow_type(other))))
 
     def run(batches):
-        part, seq, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq, ids, texts, rest, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def row():
             blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            return pa.RecordBatch.from_pylist([{"chunk": (part << 32) | seq, "ids": ids, "sizes": [len(t) for t in texts], "size": size, "blob": blob}], schema=pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("size", pa.int64()), ("blob", pa.binary())]))
+            return pa.RecordBatch.from_pylist([{"chunk": (part << 32) | seq, "ids": ids, "sizes": [len(t) for t in texts], "size": size, "blob": blob, "rest": rest}], schema=kinds)
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            others = batch.column(2).to_pylist() if other.fields else [None] * len(batch)
+            for i, t, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), others, strict=True):
                 ids.append(_NULL if i is None else i)
                 texts.append(t)
+                rest.append(o)
                 size += len(t)
                 if size >= CHUNK or len(ids) >= 1 << 16:
                     yield row()
-                    seq, ids, texts, size = seq + 1, [], [], 0
+                    seq, ids, texts, rest, size = seq + 1, [], [], [], 0
         if ids:
             yield row()
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).mapInArrow(run, schema)
+    extra = [F.struct(*other.fieldNames()).alias("rest")] if other.fields else []
+    return docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), *extra).mapInArrow(run, schema)
 
 
 def _opened(ids, sizes, blob) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -405,25 +415,33 @@ def _verdicts(chunks: DataFrame, n_chunks: int, bits: int) -> DataFrame:
     return found.groupBy("chunk").agg(F.collect_list("blob").alias("blobs"))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) per row, and with `texts` the bytes that stay as `kept_bytes`."""
-    chunks = written(_chunks(docs, key, text), "chunks")
+def _covered(x: dict, buf: np.ndarray) -> np.ndarray:
+    """Which bytes of a chunk go, from the places where repeated windows start."""
+    step = np.zeros(len(buf) + 1, np.int32)
+    for blob in x["blobs"] or []:
+        first, n = _unpack(blob, np.int64, np.int64)
+        np.add.at(step, first, 1)
+        np.add.at(step, first + n + (WINDOW - 1), -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def _judged(docs: DataFrame, key: str, text: str, carry: bool) -> DataFrame:
+    chunks = written(_chunks(docs, key, text, carry), "chunks")
     sizes = chunks.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
     bits = max(1, min(24, ((sizes["size"] or 0) // SHARD).bit_length()))
-    fields = [T.StructField(key, T.LongType()), T.StructField("n_bytes", _LONG), T.StructField("n_removed", _LONG), T.StructField("n_spans", _LONG), T.StructField("kept_sha256", T.StringType())]
-    schema = T.StructType(fields + [T.StructField("kept_bytes", _BYTES)] * texts)
+    own = [c for c in chunks.columns if c != "size"]
+    return chunks.select(*own).join(_verdicts(chunks, sizes["n"], bits), "chunk", "left").select(*own, "blobs")
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) per row."""
+    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("n_bytes", _LONG), T.StructField("n_removed", _LONG), T.StructField("n_spans", _LONG), T.StructField("kept_sha256", T.StringType())])
 
     def run(batches):
         for batch in batches:
             for x in batch.to_pylist():
                 ids, sizes, buf = _opened(x["ids"], x["sizes"], x["blob"])
-                step = np.zeros(len(buf) + 1, np.int32)
-                for blob in x["blobs"] or []:
-                    first, n = _unpack(blob, np.int64, np.int64)
-                    np.add.at(step, first, 1)
-                    np.add.at(step, first + n + (WINDOW - 1), -1)
-                gone = np.cumsum(step[:-1]) > 0
-                raw, rows, lo = buf.tobytes(), [], 0
+                gone, raw, rows, lo = _covered(x, buf), buf.tobytes(), [], 0
                 for i, size in zip(ids.tolist(), sizes.tolist(), strict=True):
                     own = gone[lo : lo + size]
                     if own.any():
@@ -431,10 +449,33 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
                         spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum())
                     else:
                         kept, spans = raw[lo : lo + size], 0
-                    rows.append([None if i == _NULL else i, size, int(own.sum()), spans, hashlib.sha256(kept).hexdigest(), kept][: len(schema.fields)])
+                    rows.append((None if i == _NULL else i, size, int(own.sum()), spans, hashlib.sha256(kept).hexdigest()))
+                    lo += size
+                kinds = [pa.int64()] * 4 + [pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
+
+    return _judged(docs, key, text, False).select("ids", "sizes", "blob", "blobs").mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs with all their columns, the text without its repeated bytes.
+
+    Where a cut falls inside a character, the bytes of it that stay are dropped from the text, which must be valid UTF-8; a
+    null text becomes empty."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = docs.schema
+    shape = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for x in batch.to_pylist():
+                ids, sizes, buf = _opened(x["ids"], x["sizes"], x["blob"])
+                gone, rows, lo = _covered(x, buf), [], 0
+                for size, other in zip(sizes.tolist(), x["rest"], strict=True):
+                    kept = buf[lo : lo + size][~gone[lo : lo + size]].tobytes().decode("utf-8", "ignore")
+                    rows.append(other | {text: kept})
                     lo += size
-                kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=schema.names)
+                yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
-    joined = chunks.select("chunk", "ids", "sizes", "blob").join(_verdicts(chunks, sizes["n"], bits), "chunk", "left")
-    return joined.select("ids", "sizes", "blob", "blobs").mapInArrow(run, schema)
+    return _judged(docs, key, text, True).mapInArrow(run, schema)

@@ -332,3 +332,19 @@ def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=schema.names)
 
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns and without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names, at = docs.columns, docs.columns.index(text)
+
+    def run(batches):
+        own = sent.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            found = np.array([s for g in _groups(texts) for s in own.scores(g)])
+            kept = batch.filter(pa.array(found < threshold, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
