@@ -36,7 +36,7 @@ from .common import written
 
 WINDOW, GRAM = 50, 16
 #: Bytes of text in a chunk, bytes of text per shard, and batches that a shard takes in one round.
-CHUNK, SHARD, FAN = 4 << 20, 16 << 20, 256
+CHUNK, SHARD, FAN = 1 << 20, 4 << 20, 1024
 _NULL = -(2**63)
 _TABLE = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -352,6 +352,13 @@ def _settled(chunks: DataFrame, masks: DataFrame, bits: int) -> DataFrame:
     return joined.select("chunk", "ids", "sizes", "blob", "masks").mapInArrow(run, _STEP)
 
 
+def _fingers(n: np.ndarray, buf: np.ndarray) -> np.ndarray:
+    """Fingerprints of all windows of segments that lie one after another in buf."""
+    n = n.astype(np.int64)
+    width = n + (WINDOW - 1)
+    return window_hashes(*gram_hashes(buf), _spread(np.cumsum(width) - width, n))
+
+
 def _merged(rows: DataFrame) -> DataFrame:
     """One round: rows (shard, batch, group, blob) of a shard and group enter one family; the same two kinds of rows come out."""
 
@@ -361,11 +368,12 @@ def _merged(rows: DataFrame) -> DataFrame:
         blobs = table.column("blob").take(pa.array(order)).to_pylist()
         parts = [_unpack(b, np.int64, np.int64, np.int64, np.int32, np.uint8) for b in blobs]
         chunk, pos, doc, n, buf = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        finger = np.concatenate([_fingers(p[3], p[4]) for p in parts])  # batch by batch, to bound memory
         n = n.astype(np.int64)
         width = n + (WINDOW - 1)
         begin = np.cumsum(width) - width
         at, which = _spread(begin, n), np.repeat(np.arange(len(n)), n)
-        family = Family(buf, window_hashes(*gram_hashes(buf), at), doc[which], at)
+        family = Family(buf, finger, doc[which], at)
         lo = 0
         for p in parts:
             size = int(p[3].sum())
