@@ -1,4 +1,7 @@
 """Every query of the library by name, with its DuckDB text where SQL can say the same."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import points, tiles
+
+_ALL = (points, tiles)
+QUERIES: dict = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for m in _ALL for k, v in m.ORACLE_SQL.items()}
