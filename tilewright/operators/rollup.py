@@ -30,11 +30,12 @@ def busiest(spans: DataFrame, by: tuple[str, ...], blocking=BLOCKING) -> DataFra
 
 
 def rolling(spans: DataFrame, by: str, frames: int = FRAMES) -> DataFrame:
-    """mean, max and nearest-rank p95 of the last `frames` spans at each span."""
+    """mean (of whole hundredths), max and nearest-rank p95 of the last `frames` spans at each span."""
     w = Window.partitionBy(by).orderBy("seq").rowsBetween(-(frames - 1), 0)
     held = spans.withColumn("held", F.sort_array(F.collect_list("ms").over(w)))
     at = F.ceil(F.size("held") * F.lit(0.95)).cast("int")
-    return held.select(by, "seq", F.round(F.aggregate("held", F.lit(0.0), lambda a, x: a + x) / F.size("held"), 6).alias("mean_ms"), F.element_at("held", -1).alias("max_ms"), F.element_at("held", at).alias("p95_ms"))
+    total = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + F.round(x * 100).cast("long"))
+    return held.select(by, "seq", (total.cast("double") / (F.size("held") * F.lit(100.0))).alias("mean_ms"), F.element_at("held", -1).alias("max_ms"), F.element_at("held", at).alias("p95_ms"))
 
 
 def regressions(worst_: DataFrame, baseline: DataFrame, budget: float, slack: float = SLACK) -> DataFrame:
