@@ -8,10 +8,11 @@
 3. Every member of a bucket is verified against the bucket's smallest member (its pivot) on the full sets.  Links found are
    joined into components.
 4. Members that share a bucket but not a component are compared with each other, each pair once, at its smallest common key
-   and only where it shares two keys or more; pairs that sizes or the triangle inequality of the Jaccard distance (through
-   the pivot) rule out are not emitted.  So no bucket is capped and no group of copies is expanded into its pairs.
+   and only where it shares two keys or more; pairs that sizes, the triangle inequality of the Jaccard distance (through the
+   pivot) or the sketches rule out are not emitted.  So no bucket is capped and no group of copies is expanded into its pairs.
 
-A pair at the threshold that shares fewer than two of the 40 band keys is missed: about 4 in a million; above it, fewer.
+A pair at the threshold that shares fewer than two of the 40 band keys, or whose sketches differ in so many coordinates as
+chance allows once in 10**5, is missed; pairs above the threshold are missed far less often.
 Links need 100 * intersection >= threshold * union.  Words are runs of non-white-space, with A-Z lower-cased.
 
 Defined cases: fewer words than k make one shingle, the whole sequence; a null, empty or blank text has the empty set, links
@@ -119,6 +120,34 @@ def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def nibbles(s: np.ndarray) -> np.ndarray:
+    """The low four bits of every coordinate, sixteen to a long."""
+    n, t = s.shape
+    low = np.zeros((n, -(-t // 16) * 16), np.uint64)
+    low[:, :t] = s & np.uint64(15)
+    return np.bitwise_or.reduce(low.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+
+
+def most_differing(threshold: int, t: int) -> int:
+    """The least number of differing nibbles that a pair at the threshold exceeds with a chance of MISS at most."""
+    p, tail, m = (1 - threshold / 100) * 15 / 16, 1.0, 0
+    while tail > MISS:
+        tail -= math.comb(t, m) * p**m * (1 - p) ** (t - m)
+        m += 1
+    return m - 1
+
+
+def _differing(x: str, y: str, longs: int):
+    """Coordinates whose nibbles differ, by folding each nibble's bits of the exclusive or into its lowest."""
+    total = F.lit(0)
+    for i in range(longs):
+        d = F.get(F.col(x), i).bitwiseXOR(F.get(F.col(y), i))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        total = total + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def _groups(lists: list, sizes, most: int, limit: int):
     lo = 0
     while lo < len(lists):
@@ -131,18 +160,18 @@ def _groups(lists: list, sizes, most: int, limit: int):
 
 
 def sketches(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, d1, d2, keys): set size, 128-bit set digest and band keys, in one pass over the texts."""
-    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """(id, n, d1, d2, keys, bits): set size, 128-bit set digest, band keys and sketch nibbles, in one pass over the texts."""
+    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
+    lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.reshape(-1)))
 
     def run(batches):
         for batch in batches:
             lo = 0
             for part in _groups(batch.column(1).to_pylist(), lambda x: len(x or "") // 5, GROUP, GROUP_WORDS):
                 sets = shingle_sets([words(x) for x in part], k)
-                keys = band_keys(sketch(sets, bands * rows), bands, rows)
+                found = sketch(sets, bands * rows)
                 digest = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), np.int64).reshape(-1, 2)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists(band_keys(found, bands, rows)), lists(nibbles(found))], names=schema.names)
                 lo += len(part)
 
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -219,7 +248,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     made = written(sketches(docs, key, text, k, bands, rows), "sketches")
     classes = made.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     chosen = made.alias("s").join(classes.alias("c"), F.expr("s.d1 = c.d1 and s.d2 = c.d2 and s.id = c.rep"), "left_semi").where("n > 0").dropDuplicates(["d1", "d2"])
-    reps = written(chosen.select("id", "n", "keys"), "reps")
+    reps = written(chosen.select("id", "n", "keys", "bits"), "reps")
     members = reps.select("id", "n", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("p")).where("c > 1").select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
     multi = written(members.join(shared, "key"), "buckets")
@@ -236,12 +265,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     distance = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("both") / F.col("either")).alias("far"))
     rest = placed.join(mixed, "key", "left_semi").join(distance, ["pivot", "id"], "left").withColumn("far", F.when(F.expr("id = pivot"), 0.0).otherwise(F.col("far")))
-    rest = written(rest.join(reps.select("id", "keys"), "id").select("key", "id", "n", "comp", "far", F.array_sort("keys").alias("keys")), "mixed")
+    rest = written(rest.join(reps.select("id", "keys", "bits"), "id").select("key", "id", "n", "comp", "far", "keys", "bits"), "mixed")
     x, y = (rest.select(*[F.col(c).alias(c + s) if c != "key" else F.col(c) for c in rest.columns]) for s in ("_x", "_y"))
     common = F.array_intersect("keys_x", "keys_y")
     meet = (F.col("id_x") < F.col("id_y")) & (F.col("comp_x") != F.col("comp_y")) & _sizes_fit("n_x", "n_y", threshold) & ~_apart("far_x", "far_y", threshold)
+    close = _differing("bits_x", "bits_y", -(-bands * rows // 16)) <= most_differing(threshold, bands * rows)
     x, y = x.alias("x"), y.alias("y")
-    late = x.join(y, (F.col("x.key") == F.col("y.key")) & meet & (F.size(common) > 1) & (F.array_min(common) == F.col("x.key")))
+    late = x.join(y, (F.col("x.key") == F.col("y.key")) & meet & close & (F.size(common) > 1) & (F.array_min(common) == F.col("x.key")))
     late = late.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
     late = late.join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = written(verified(late.distinct(), texts, k), "verified")
