@@ -2,7 +2,8 @@
 
 `records` keeps one row per record with its exact header block; `payloads` keeps each distinct payload once under its
 SHA-256.  Equal digests are verified: two payloads under one SHA-256 must agree in length and in SHA-1, or writing fails.
-read() joins the two and gives back every record's bytes; parse() reads those bytes as a WARC reader would.
+read() joins the two and gives back every record's bytes; parse() reads those bytes as a WARC reader would.  Payloads are
+compressed one by one before they are shuffled or stored, as WARC files keep one compressed member a record.
 
 Of records with equal payloads of at least `least` bytes the one with the largest key is the response and the others are
 revisits that name it; smaller payloads are all responses.  Defined cases: a null payload is empty; a null url leaves out the
@@ -12,11 +13,15 @@ never the largest unless all keys of its payload are null; an empty table writes
 
 from __future__ import annotations
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path
 
+LEVEL = 6
+
 CRLF = "\r\n"
 DATE = "2020-01-01T00:00:00Z"
 B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -49,6 +54,26 @@ def _header(kind: Column) -> Column:
     )
 
 
+def _each(df: DataFrame, column: str, work) -> DataFrame:
+    """df with work() applied to every value of a binary column, batch by batch."""
+
+    def run(batches):
+        own = work()
+        for b in batches:
+            i = b.schema.get_field_index(column)
+            yield b.set_column(i, column, pa.array([own(v.as_py()) for v in b.column(i)], pa.binary()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _compressed(df: DataFrame) -> DataFrame:
+    return _each(df, "payload", lambda: zstandard.ZstdCompressor(level=LEVEL).compress)
+
+
+def _opened(df: DataFrame) -> DataFrame:
+    return _each(df, "payload", lambda: zstandard.ZstdDecompressor().decompress)
+
+
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> None:
     """Write the archive.  Only digests are grouped; payloads are shuffled once, and one row a digest is kept."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
@@ -62,17 +87,17 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     kind = F.when((F.col("n") >= least) & F.col("largest").isNotNull() & ~F.col("key").eqNullSafe(F.col("largest")), F.lit("revisit")).otherwise(F.lit("response"))
     rows.select("sha256", kind.alias("kind"), _header(kind).cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
     # The payload of a digest comes from its response, so copies never travel.
-    first = digested.select("key", "sha256", "payload").join(groups.select("sha256", "largest", F.coalesce("times", F.lit(2)).alias("times")), "sha256")
+    first = _compressed(digested.select("key", "sha256", "payload")).join(groups.select("sha256", "largest", F.coalesce("times", F.lit(2)).alias("times")), "sha256")
     first = first.where(F.col("key").eqNullSafe(F.col("largest"))).select("sha256", "payload", "times")
     # Only rows that repeat a key and a payload need a second shuffle to be one.
     once = first.where("times = 1").drop("times").unionByName(first.where("times > 1").drop("times").dropDuplicates(["sha256"]))
-    once.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    once.write.parquet(f"{path}/payloads")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(record, payload): the bytes of every record, and the full payload that a revisit stands for."""
     records, payloads = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads")
-    both = records.join(payloads, "sha256")
+    both = _opened(records.join(payloads, "sha256").select("kind", "header", "payload"))
     end = F.lit(CRLF * 2).cast("binary")
     return both.select(F.when(F.col("kind") == "revisit", F.concat("header", end)).otherwise(F.concat("header", "payload", end)).alias("record"), "payload")
 
