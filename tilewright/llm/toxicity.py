@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Most labelled rows that fit() learns from, most landmarks, and the words that a worker remembers.
-SAMPLE, LANDMARKS, CACHE = 12_000, 160, 400_000
+SAMPLE, LANDMARKS, CACHE = 6_000, 160, 400_000
 DECAY, SPAN, LENGTH, STEP, NEAR = 0.7, 7, 16, 6, 0.35
 EDGE = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»“”„’‘…¡¿"
 SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
@@ -194,22 +194,28 @@ class Constant:
         return [self.value] * len(texts)
 
 
-def choose_landmarks(bags: list[set[str]], y: np.ndarray, most: int) -> list[str]:
-    """Greedy cover of the toxic texts by words that are at least 8 times as frequent in toxic as in clean texts."""
-    df = [Counter(), Counter()]
-    for bag, label in zip(bags, y, strict=True):
-        df[int(label)].update(bag)
-    n = [max(1, int((y == k).sum())) for k in (0, 1)]
-    odds = {w: c / n[1] / ((df[0][w] + 0.5) / n[0]) for w, c in df[1].items() if 3 <= len(w) <= LENGTH and c >= 3}
-    pool = sorted((w for w, o in odds.items() if o >= 8), key=lambda w: (-df[1][w], w))[:4000]
-    texts = {w: [] for w in pool}
-    for i in np.flatnonzero(y == 1):
-        for w in bags[i].intersection(texts):
-            texts[w].append(int(i))
+def choose_landmarks(words: list[str], bags: list[np.ndarray], y: np.ndarray, most: int) -> list[str]:
+    """Greedy cover of the toxic texts by words that are at least 8 times as frequent in toxic as in clean texts.
+
+    bags: the numbers of each text's distinct words."""
+    toxic = [b for b, label in zip(bags, y, strict=True) if label == 1]
+    count = lambda some: np.bincount(np.concatenate([*some, np.empty(0, np.int64)]).astype(np.int64), minlength=len(words))
+    bad = count(toxic)
+    good = count(bags) - bad
+    n1, n0 = max(1, len(toxic)), max(1, len(bags) - len(toxic))
+    fit_ = np.flatnonzero((bad >= 3) & (bad / n1 >= 8 * (good + 0.5) / n0))
+    pool = sorted((words[i] for i in fit_ if 3 <= len(words[i]) <= LENGTH), key=lambda w: w)
+    number = {w: i for i, w in enumerate(words) if bad[i] >= 3}
+    pool = sorted(pool, key=lambda w: (-bad[number[w]], w))[:4000]
+    texts: dict[str, list[int]] = {w: [] for w in pool}
+    at = {number[w]: w for w in pool}
+    for i, bag in enumerate(toxic):
+        for k in bag.tolist():
+            if k in at:
+                texts[at[k]].append(i)
     chosen: list[str] = []
     times = Counter()
     left = set(pool)
-    near = Kernel(pool[:1]) if pool else None
     while left and len(chosen) < most:
         # A text counts less the more chosen words it already holds.
         gain = {w: sum(0.5 ** times[i] for i in texts[w]) for w in left}
@@ -217,8 +223,7 @@ def choose_landmarks(bags: list[set[str]], y: np.ndarray, most: int) -> list[str
         if gain[best] < 0.5:
             break
         chosen.append(best)
-        near = Kernel([best])
-        close = {w for w, v in near.rows(list(left)).items() if v[0] >= 0.6} | {best}
+        close = {w for w, v in Kernel([best]).rows(sorted(left)).items() if v[0] >= 0.6} | {best}
         for i in {i for w in close for i in texts[w]}:
             times[i] += 1
         left -= close
@@ -246,23 +251,28 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 60) -> tuple
     return w[:-1], float(w[-1])
 
 
-def train(docs: list[list[list[str]]], y: np.ndarray, most: int = LANDMARKS, rounds: int = 6):
-    """A Model from texts given as sentences of distinct words, and their labels."""
+def train(docs, y: np.ndarray, most: int = LANDMARKS, rounds: int = 6):
+    """A Model from texts, given one by one as sentences of words, and their labels."""
     if len(set(y.tolist())) < 2:
         return Constant(float(len(y) > 0 and y[0] == 1))
-    bags = [{n for s in d for w in s if len(n := normal(w)) >= 3} for d in docs]
-    kernel = Kernel(choose_landmarks(bags, y, most))
+    numbers: dict[str, int] = {}
+    bags = [np.unique(np.array([numbers.setdefault(n, len(numbers)) for s in d for w in s if len(n := normal(w)) >= 3], np.int32)) for d in docs]
+    words = list(numbers)
+    kernel = Kernel(choose_landmarks(words, bags, y, most))
     if not kernel.landmarks:
         return Constant(0.0)
     m = len(kernel.landmarks)
-    rows = kernel.rows(sorted(set().union(*bags)))
+    rows: dict[str, np.ndarray] = {}
+    for lo in range(0, len(words), 50_000):
+        rows |= kernel.rows(words[lo : lo + 50_000])
     own = [kernel.rows([w])[w].astype(np.float64) for w in kernel.landmarks]
     values, vectors = np.linalg.eigh((np.array(own) + np.array(own).T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     near = sorted(rows)
-    number = {w: i for i, w in enumerate(near)}
+    place = np.full(len(words), -1)
+    place[[numbers[w] for w in near]] = np.arange(len(near))
     x = np.vstack([np.array([rows[w] for w in near]).reshape(-1, m) @ root, np.zeros((1, m))])
-    bag = [np.array([number[w] for w in b if w in number] or [len(near)]) for b in bags]
+    bag = [k if len(k := place[b][place[b] >= 0]) else np.array([len(near)]) for b in bags]
     clean = np.unique(np.concatenate([b for b, label in zip(bag, y, strict=True) if label == 0]))
     toxic = [b for b, label in zip(bag, y, strict=True) if label == 1]
     # Start from each toxic text's word that clean texts use least, among those the one nearest to a landmark.
@@ -304,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     given = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     got = given.join(F.broadcast(chosen), "k").select("y", "t").mapInArrow(run, schema).toArrow()
     y = np.array(got.column("y").to_pylist(), np.int64)
-    return train([[s.split(" ") for s in t.split("\n") if s] for t in got.column("s").to_pylist()], y)
+    return train(([s.split(" ") for s in t.as_py().split("\n") if s] for t in got.column("s")), y)
 
 
 def _groups(texts: list[str], chars: int = 2_000_000):
