@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright import sources
 from tilewright.operators import parts, pyramid, raster
-from tilewright.sources import descriptors, mt2, osmpbf, shapefile, tiff
+from tilewright.sources import descriptors, osmpbf, shapefile, tiff, tilefile
 
 
 def feature(**more):
@@ -17,34 +17,34 @@ def feature(**more):
 
 
 def test_tiles_round_trip_and_damage_is_an_error():
-    raw = mt2.encode(12, 5, 9, [feature(), feature(id=7, building=None, holes=[]), feature(**{"class": 6}, building=None)], {mt2.HEIGHTS: b"abc"})
-    version, tile, found = mt2.sections(raw)
-    assert (version, tile, [c for c, _ in found]) == (6, (12, 5, 9), [3, 6, mt2.HEIGHTS])
-    one, two = mt2.features(found[0][1], 6)
+    raw = tilefile.encode(12, 5, 9, [feature(), feature(id=7, building=None, holes=[]), feature(**{"class": 6}, building=None)], {tilefile.HEIGHTS: b"abc"})
+    version, tile, found = tilefile.sections(raw)
+    assert (version, tile, [c for c, _ in found]) == (6, (12, 5, 9), [3, 6, tilefile.HEIGHTS])
+    one, two = tilefile.features(found[0][1], 6)
     assert one == {k: v for k, v in feature().items() if k != "class"}
     assert two["building"] is None and two["id"] == 7
     for cut in range(len(raw)):
         try:
-            v, _, s = mt2.sections(raw[:cut])
+            v, _, s = tilefile.sections(raw[:cut])
             for c, p in s:
-                list(mt2.features(p, v)) if c < mt2.RASTER_BASE else None
-        except mt2.TileError:
+                list(tilefile.features(p, v)) if c < tilefile.RASTER_BASE else None
+        except tilefile.TileError:
             pass
     for bad in (b"XXXX" + raw[4:], raw[:4] + b"\x09\0" + raw[6:]):
-        with pytest.raises(mt2.TileError):
-            mt2.sections(bad)
-    with pytest.raises(mt2.TileError):
-        mt2.encode(0, 0, 0, [feature(vertices=[])])
-    with pytest.raises(mt2.TileError):
-        mt2.encode(0, 0, 0, [feature(building={"base_dm": 9, "top_dm": 9, "roof": "Flat", "material": "Unknown"})])
+        with pytest.raises(tilefile.TileError):
+            tilefile.sections(bad)
+    with pytest.raises(tilefile.TileError):
+        tilefile.encode(0, 0, 0, [feature(vertices=[])])
+    with pytest.raises(tilefile.TileError):
+        tilefile.encode(0, 0, 0, [feature(building={"base_dm": 9, "top_dm": 9, "roof": "Flat", "material": "Unknown"})])
 
 
 def test_older_versions_are_read():
     line = struct.pack("<3H", 1, 4, 5)
     v1 = struct.pack("<H", 1) + struct.pack("<IBBH", 7, 0, 3, 2) + b"ab" + line
-    assert next(iter(mt2.features(v1, 1)))["name"] == "ab"
+    assert next(iter(tilefile.features(v1, 1)))["name"] == "ab"
     v4 = struct.pack("<H", 1) + struct.pack("<QBBHHBH", 2**50, 0, 3, 0, 30, 1, 0) + line + struct.pack("<H", 0)
-    assert next(iter(mt2.features(v4, 4)))["building"]["material"] == "Unknown"
+    assert next(iter(tilefile.features(v4, 4)))["building"]["material"] == "Unknown"
 
 
 def test_build_write_read_verify_and_carve(spark, tmp_path):
@@ -52,14 +52,14 @@ def test_build_write_read_verify_and_carve(spark, tmp_path):
     f = spark.createDataFrame([(i, {"place": "city", "name": f"P{i}"}, [(i * 7.0 - 100, i * 1.0)], []) for i in range(20)], f"id long, tags map<string,string>, vertices {v}, holes array<{v}>")
     p = parts.parts(f, [0, 5])
     heights = p.select("z", "x", "y").distinct().where("z = 5").withColumn("packed", F.lit(raster.pack((11005).to_bytes(2, "little") * 65536)))
-    built = mt2.built(p, heights)
-    done = mt2.written(built, str(tmp_path / "pkg")).collect()
-    files = mt2.files(spark, str(tmp_path / "pkg"))
+    built = tilefile.built(p, heights)
+    done = tilefile.written(built, str(tmp_path / "pkg")).collect()
+    files = tilefile.files(spark, str(tmp_path / "pkg"))
     assert pyramid.integrity(spark.createDataFrame([(r.path, r.digest) for r in done], "path string, digest string"), pyramid.tile_digests(files)).where("state <> 'same'").count() == 0
-    back = mt2.decoded(files)
+    back = tilefile.decoded(files)
     assert back.where("z = 5").count() == 20 and back.where("z = 0").count() == 20
-    assert mt2.decoded(files, [3]).count() == 0
-    assert mt2.rasters(files).count() == heights.count()
+    assert tilefile.decoded(files, [3]).count() == 0
+    assert tilefile.rasters(files).count() == heights.count()
     tiles = back.select("z", "x", "y").distinct()
     assert pyramid.carve(tiles, 0.0, 0.0, [(5, 5, 0)], world=0).where("z = 0").count() == 1
     with pytest.raises(ValueError):

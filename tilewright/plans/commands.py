@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import style, tags
 from ..operators import assembly, conflate, parts, pyramid, raster
-from ..sources import mt2, register
+from ..sources import register, tilefile
 from ..sources.osmpbf import tables
 
 
@@ -53,7 +53,7 @@ def build(layers: dict[int, DataFrame], claims: DataFrame, levels: list[int], gr
         deep = style_cap(cap)
         tiles = raster.covering_grid(kept.where(F.col("z") <= deep).select("z", "x", "y").distinct(), grids).where("grid_id is not null")
         heights = packed_heights(tiles, grids)
-    return mt2.built(kept, heights), conflate.report(fates)
+    return tilefile.built(kept, heights), conflate.report(fates)
 
 
 def style_cap(cap: int | None) -> int:
@@ -73,7 +73,7 @@ def packed_heights(tiles: DataFrame, grids: DataFrame) -> DataFrame:
 def verify_package(spark: SparkSession, folder: str, manifest: str) -> DataFrame:
     """path and state of every tile against the manifest's digests; a package without them is checked by its package digest."""
     m = spark.createDataFrame([(manifest,)], "t string").select(pyramid.parsed_manifest(F.col("t")).alias("m"))
-    actual = pyramid.tile_digests(mt2.files(spark, folder))
+    actual = pyramid.tile_digests(tilefile.files(spark, folder))
     listed = m.select(F.explode("m.tile_digests").alias("path", "digest"))
     if m.first()["m"]["tile_digests"] is not None:
         return pyramid.integrity(listed, actual)
@@ -86,7 +86,7 @@ def carve_package(spark: SparkSession, folder: str, lon: float, lat: float, rule
     """The files (path, content) of a package that a carve keeps."""
     from ..functions import grid
 
-    files = mt2.files(spark, folder)
+    files = tilefile.files(spark, folder)
     at = grid.parse_path(F.col("path"))
     return pyramid.carve(files.withColumns({k: v for k, v in at.items()}), lon, lat, rules, world).select("path", "content")
 

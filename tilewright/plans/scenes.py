@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import camera, grid
 from ..operators import mesh, parts, placement, pyramid, raster, scenes
-from ..sources import mt2
+from ..sources import tilefile
 from . import inputs as i
 from . import vectors
 
@@ -110,8 +110,8 @@ def mesh_buckets(spark, sf_dir):
 def tile_roundtrip(spark, sf_dir):
     """Parts encoded as tiles and decoded again: features, vertices and digests of both sides."""
     f = parts.parts(vectors._features(spark, sf_dir), [8])
-    t = mt2.built(f)
-    back = mt2.decoded(t).groupBy("z", "x", "y").agg(F.count("*").alias("decoded"), F.sum(F.size("vertices")).alias("vertices"))
+    t = tilefile.built(f)
+    back = tilefile.decoded(t).groupBy("z", "x", "y").agg(F.count("*").alias("decoded"), F.sum(F.size("vertices")).alias("vertices"))
     want = f.groupBy("z", "x", "y").agg(F.sum(F.size("vertices")).alias("want"))
     return t.select("z", "x", "y", "features").join(back, ["z", "x", "y"]).join(want, ["z", "x", "y"]).select("z", "x", "y", "features", "decoded", (F.col("vertices") == F.col("want")).alias("same"))
 

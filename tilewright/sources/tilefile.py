@@ -1,4 +1,4 @@
-"""MT2 tiles: encoder, decoder, and packages of tile files as DataFrames.
+"""Binary tiles: encoder, decoder, and packages of tile files as DataFrames.
 
 Little-endian: magic, version, z, x, y, a section table (class, offset, length), payloads.  Vector sections hold features with
 delta-coded vertices; classes from RASTER_BASE on are opaque rasters.  Versions 1 to 6 are read, 6 is written.
