@@ -208,13 +208,15 @@ class Chunk:
             self.short = np.empty(0, np.uint64)
             return
         self.h2, self.h16 = gram_hashes(buf)
-        # Anchors shortened to the shard's bits and 32 more, which is all that counting and dealing need.
-        short = anchors(self.h16) >> np.uint64(32 - bits)
+        found = anchors(self.h16)
         at = _spread(self.start[own], self.windows[own])
         doc = np.repeat(ids[own], self.windows[own])
-        run, self.length = _runs(at, short[at], np.repeat(own, self.windows[own]))
+        run, self.length = _runs(at, found[at], np.repeat(own, self.windows[own]))
         self.first, self.doc = at[run], doc[run]
-        self.short = short[self.first]
+        # Anchors are minima, so they are mixed again before their high bits name a shard; the shard's bits and 32 more are all
+        # that counting and dealing need.
+        short = found[self.first] * _ODD[4]
+        self.short = ((short ^ (short >> np.uint64(31))) * _ODD[5]) >> np.uint64(32 - bits)
 
     def distinct(self) -> np.ndarray:
         return np.unique(self.short)
