@@ -164,9 +164,9 @@ def relief_tint(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT event_id, event_id * 1.5 AS lon, (event_id % 300) - 150.0 AS lat, (event_id % 50) - 10.0 AS zoom, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id * -7.0 END AS bearing, (event_id % 90) - 10.0 AS tilt FROM events)
-SELECT event_id, round((lon + 180.0) - 360.0 * floor((lon + 180.0) / 360.0) - 180.0, 6) AS lon, least(greatest(lat, -85.05112877980659), 85.05112877980659) AS lat, least(greatest(zoom, 0.0), 22.0) AS zoom,
-  round(CASE WHEN bearing IS NULL THEN 11.0 ELSE bearing - 360.0 * floor(bearing / 360.0) END, 6) AS bearing, least(greatest(tilt, 0.0), 60.0) AS tilt FROM p""")
+WITH p AS (SELECT event_id, event_id * 1.5::DOUBLE AS lon, (event_id % 300) - 150::DOUBLE AS lat, (event_id % 50) - 10::DOUBLE AS zoom, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id * -7::DOUBLE END AS bearing, (event_id % 90) - 10::DOUBLE AS tilt FROM events)
+SELECT event_id, round((lon + 180.0) - 360.0 * floor((lon + 180.0) / 360.0) - 180.0, 6) AS lon, least(greatest(lat, -85.05112877980659::DOUBLE), 85.05112877980659::DOUBLE) AS lat, least(greatest(zoom, 0::DOUBLE), 22::DOUBLE) AS zoom,
+  round(CASE WHEN bearing IS NULL THEN 11.0 ELSE bearing - 360.0 * floor(bearing / 360.0) END, 6) AS bearing, least(greatest(tilt, 0::DOUBLE), 60::DOUBLE) AS tilt FROM p""")
 def camera_patch(spark, sf_dir):
     """Camera fields after a patch: wrapped, clamped, and kept where the patch is silent."""
     from ..operators import residency

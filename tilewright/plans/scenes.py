@@ -134,7 +134,7 @@ def hill_shade(spark, sf_dir):
     return i.table(spark, sf_dir, "nation").select("n_nationkey", F.round(raster.shade(e, north), 9).alias("shade"))
 
 
-@query(f"SELECT s_suppkey, round((s_suppkey % 64) / 64.0, 9) AS origin_x, round(1.0 / 64.0, 9) AS span, round(40075016.68557849 * cos(radians((s_suppkey * 104729 % 169999) / 1000.0 - 85.0)) / 64.0 / 255.0, 6) AS texel_m, round({2 * math.pi}, 6) AS turn FROM supplier")
+@query(f"SELECT s_suppkey, round((s_suppkey % 64) / 64.0, 9) AS origin_x, round(1.0 / 64.0, 9) AS span, round(40075016.68557849 * cos(radians((s_suppkey * 104729 % 169999) / 1000.0 - 85.0)) / 64.0 / 255.0, 6) AS texel_m, CAST(round({2 * math.pi}, 6) AS DOUBLE) AS turn FROM supplier")
 def tile_frames(spark, sf_dir):
     k = F.col("s_suppkey")
     f = camera.tile_frame(6, k % 64, k % 64)

@@ -217,7 +217,7 @@ def gradient(spark, sf_dir):
 
 
 @query(f"""
-SELECT a.n_nationkey, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, round((a.m + (b.m - a.m) * 0.25) + ((c.m + (d.m - c.m) * 0.25) - (a.m + (b.m - a.m) * 0.25)) * 0.75, 9) AS metres FROM {_RASTER} AS a
+SELECT a.n_nationkey, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST((a.m + (b.m - a.m) * 0.25) + ((c.m + (d.m - c.m) * 0.25) - (a.m + (b.m - a.m) * 0.25)) * 0.75 AS DOUBLE) AS metres FROM {_RASTER} AS a
 JOIN {_RASTER} AS b ON b.n_nationkey = a.n_nationkey AND b.x = a.x + 1 AND b.y = a.y JOIN {_RASTER} AS c ON c.n_nationkey = a.n_nationkey AND c.x = a.x AND c.y = a.y + 1 JOIN {_RASTER} AS d ON d.n_nationkey = a.n_nationkey AND d.x = a.x + 1 AND d.y = a.y + 1
 WHERE a.x BETWEEN 0 AND 7 AND a.y BETWEEN 0 AND 7""")
 def bilinear_height(spark, sf_dir):

@@ -1,6 +1,6 @@
 """Residency as streams: demand per session, arrivals, and quiet detection over spans.
 
-State per session is its resident tiles, which a viewport and its margin bound, kept with a time to live.
+State per session is its resident tiles, which a viewport and its margin bound.
 """
 
 from __future__ import annotations
