@@ -229,3 +229,16 @@ def test_streams(spark, tmp_path):
     assert cameras.latest_cameras(df).where("session = 's'").first().lon == 90.0
     batch = cameras.quiet(df.select(F.col("session").alias("study"), "at"), "2 seconds").where("study = 's'").count()
     assert batch == 2
+
+
+def test_tile_features_in_sql(spark):
+    from tilewright.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(mt2_bytes(),)], "content binary").createOrReplaceTempView("held")
+    got = spark.sql("SELECT f.* FROM held, LATERAL tile_features(content) AS f").collect()
+    assert [(r["class"], r.id, r.vertices, r.holes) for r in got] == [(3, 2**40, 4, 1)]
+
+
+def mt2_bytes():
+    return tilefile.encode(1, 0, 0, [feature()])

@@ -209,3 +209,13 @@ def segment_distance(spark, sf_dir):
     ax, ay = d(k % 7), d(k % 11)
     distance = grid.segment_distance(d(k * 31 % 97), d(k * 17 % 89), ax, ay, ax + d(k % 3 * 20), ay + d(k % 3 * 30))
     return i.table(spark, sf_dir, "part").select("p_partkey", F.round(distance, 9).alias("distance"))
+
+
+@query(f"SELECT event_id, tx, ty, round(sqrt(power((lon - 10.0) * cos(radians((lat + 50.0) / 2.0)) * 111320.0, 2) + power((lat - 50.0) * 111320.0, 2)), 2) AS metres FROM (SELECT event_id, lon, lat, {i.sql_tile(_X, '9')} AS tx, {i.sql_tile(_Y, '9')} AS ty FROM {i.SQL_POINTS})")
+def sql_functions(spark, sf_dir):
+    """The registered SQL functions inside a SQL query."""
+    from ..functions import sql
+
+    sql.register(spark)
+    i.points(spark, sf_dir).createOrReplaceTempView("tilewright_points")
+    return spark.sql("SELECT event_id, tile_x(lon, 9) AS tx, tile_y(lat, 9) AS ty, round(metres_between(10D, 50D, lon, lat), 2) AS metres FROM tilewright_points")
