@@ -313,7 +313,9 @@ def _segments(shard: np.ndarray, chunk: np.ndarray, pos: np.ndarray, doc: np.nda
     cut = _starts(shard[order])
     for part in np.split(order, cut[1:]) if len(cut) else []:
         width = n[part] + (WINDOW - 1)
-        yield int(shard[part[0]]), _pack(chunk[part], pos[part], doc[part], n[part].astype(np.int32), buf[_spread(at[part], width)])
+        # Differences of positions and documents compress better than they do.
+        steps = (np.diff(a[part], prepend=np.int64(0)) for a in (pos, doc))
+        yield int(shard[part[0]]), _pack(chunk[part], *steps, n[part].astype(np.int32), buf[_spread(at[part], width)])
 
 
 def _settled(chunks: DataFrame, masks: DataFrame, bits: int) -> DataFrame:
@@ -362,13 +364,17 @@ def _fingers(n: np.ndarray, buf: np.ndarray) -> np.ndarray:
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    """One round: rows (shard, batch, group, blob) of a shard and group enter one family; the same two kinds of rows come out."""
+    """One round: rows (shard, batch, group, blob) of a shard and group enter one family; the same two kinds of rows come out.
+
+    Repeats that are settled already pass through, each chunk's as a group of its own, so that a step has one reader only."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("shard")[0].as_py() < 0:
+            return table.select(["shard", "batch", "blob"]).rename_columns(_STEP.names)
         order = np.argsort(table.column("batch").to_numpy(), kind="stable")
         shard, group = table.column("shard")[0].as_py(), table.column("group")[0].as_py()
         blobs = table.column("blob").take(pa.array(order)).to_pylist()
-        parts = [_unpack(b, np.int64, np.int64, np.int64, np.int32, np.uint8) for b in blobs]
+        parts = [(c, np.cumsum(p), np.cumsum(d), n, b) for c, p, d, n, b in (_unpack(b, np.int64, np.int64, np.int64, np.int32, np.uint8) for b in blobs)]
         chunk, pos, doc, n, buf = (np.concatenate([p[i] for p in parts]) for i in range(5))
         finger = np.concatenate([_fingers(p[3], p[4]) for p in parts])  # batch by batch, to bound memory
         n = n.astype(np.int64)
@@ -407,21 +413,19 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 def _verdicts(chunks: DataFrame, n_chunks: int, bits: int) -> DataFrame:
     """(chunk, blobs): where in each chunk repeated windows start."""
-    step = written(_settled(chunks, _counted(chunks, bits), bits), "batches")
-    found = step.where("shard < 0").select("chunk", "blob")
+    step = _settled(chunks, _counted(chunks, bits), bits)
     # Batches are numbered by a hash of their chunk, so that groups of FAN are even whatever the chunk ids are.
     groups = max(1, -(-n_chunks // FAN))
-    rows = step.where("shard >= 0").select("shard", F.col("chunk").alias("batch"), F.pmod(F.xxhash64("chunk"), F.lit(groups)).alias("group"), "blob")
+    batch = F.pmod(F.xxhash64("chunk"), F.lit(groups))
     while True:
-        step = _merged(rows)
-        if groups > 1:
-            step = written(step, "levels")
-        found = found.unionByName(step.where("shard < 0").select("chunk", "blob"))
+        group = F.when(F.col("shard") < 0, F.col("chunk")).otherwise(batch)
+        step = _merged(step.select("shard", F.col("chunk").alias("batch"), group.alias("group"), "blob"))
         if groups == 1:
             break
-        nearer = -(-groups // FAN)
-        rows = step.where("shard >= 0").select("shard", F.col("chunk").alias("batch"), (F.col("chunk") % nearer).alias("group"), "blob")
-        groups = nearer
+        step = written(step, "levels")
+        groups = -(-groups // FAN)
+        batch = F.col("chunk") % groups
+    found = step.where("shard < 0").select("chunk", "blob")
     return found.groupBy("chunk").agg(F.collect_list("blob").alias("blobs"))
 
 
