@@ -7,7 +7,7 @@ from arithmetic, so the only shuffles are the joins on (session, z, x, y).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grid
@@ -44,41 +44,50 @@ def normalised_levels(levels: Column) -> Column:
     return F.array_sort(F.array_distinct(levels))
 
 
-def spans(cameras: DataFrame, levels: list[int]) -> DataFrame:
-    """One row per camera and level that matters: role target, coarser or next, with the span at that level."""
+def spanned(cameras: DataFrame, levels: list[int]) -> DataFrame:
+    """cameras with `spans`: an array of (role, z, x0, y0, x1, y1) for the target level, the coarser ones and the next."""
     known = F.array(*[F.lit(z) for z in sorted(set(levels))])
-    c = cameras.withColumn("target", target_level(F.col("zoom"), known)).withColumn("level", F.explode(known))
-    after = F.array_min(F.filter(known, lambda z: z > F.col("target")))
-    role = F.when(F.col("level") == F.col("target"), "target").when(F.col("level") < F.col("target"), "coarser").when(F.col("level") == after, "next")
-    span = grid.tile_span(F.col("lon"), F.col("lat"), F.col("zoom"), F.col("level"), F.col("width"), F.col("height"))
-    return c.withColumns({"role": role, **span}).where("role is not null").select("session", "zoom", "role", F.col("level").alias("z"), "x0", "y0", "x1", "y1")
+    target = target_level(F.col("zoom"), known)
+    after = F.array_min(F.filter(known, lambda z: z > target))
+
+    def span(z: Column) -> Column:
+        s = grid.tile_span(F.col("lon"), F.col("lat"), F.col("zoom"), z, F.col("width"), F.col("height"))
+        role = F.when(z == target, "target").when(z < target, "coarser").when(z == after, "next")
+        return F.struct(role.alias("role"), z.alias("z"), *[s[k].alias(k) for k in ("x0", "y0", "x1", "y1")])
+
+    return cameras.withColumn("spans", F.filter(F.transform(known, span), lambda s: s["role"].isNotNull()))
 
 
 def tiles_in(span: DataFrame) -> DataFrame:
-    """The tiles of each span, inside the world."""
+    """The tiles of each span (z, x0, y0, x1, y1), inside the world."""
     last = grid.side(F.col("z")) - 1
     at = span.withColumns({"x0": F.greatest("x0", F.lit(0)), "y0": F.greatest("y0", F.lit(0)), "x1": F.least("x1", last), "y1": F.least("y1", last)}).where("x0 <= x1 and y0 <= y1")
     return at.withColumn("y", F.explode(F.sequence("y0", "y1"))).withColumn("x", F.explode(F.sequence("x0", "x1"))).drop("x0", "y0", "x1", "y1")
 
 
 def plan(cameras: DataFrame, resident: DataFrame, levels: list[int]) -> DataFrame:
-    s = spans(cameras, levels)
+    """One camera a session.  Wanted tiles meet the resident ones once, and a row then says every kind that it stands for."""
+    cams = spanned(cameras.withColumn("zoom", F.col("zoom").cast("double")), levels).select("session", "zoom", "spans")
     held = resident.select("session", F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct()
-    wanted = tiles_in(s).join(held.withColumn("held", F.lit(True)), TILE, "left").withColumn("held", F.coalesce("held", F.lit(False)))
-    target, coarser = wanted.where("role = 'target'"), wanted.where("role = 'coarser'")
-    missing = target.where("not held")
+    wanted = tiles_in(cams.select("session", "zoom", F.inline("spans")))
+    met = wanted.join(held.withColumn("held", F.lit(True)), TILE, "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    own = Window.partitionBy("session")
+    flag = lambda test, kind: F.when(F.expr(test), F.lit(kind))
     # The deepest coarser level with a resident tile stands in where the target has a hole.
-    deepest = coarser.where("held").groupBy("session").agg(F.max("z").alias("z"))
-    cover = coarser.where("held").join(deepest, ["session", "z"], "left_semi").join(missing.select("session").distinct(), "session", "left_semi")
-    ahead = wanted.where(f"role = 'next' and not held and zoom + {PREFETCH_ZOOM} >= z")
-    kept = held.join(s, ["session", "z"]).where(f"x between x0 - {KEEP_MARGIN} and x1 + {KEEP_MARGIN} and y between y0 - {KEEP_MARGIN} and y1 + {KEEP_MARGIN}").select(*TILE)
-    gone = held.join(cameras.select("session").distinct(), "session", "left_semi").join(kept.distinct(), TILE, "left_anti")
-    kinds = {"draw": target.select(*TILE).unionByName(cover.select(*TILE)), "missing": missing, "fallback": coarser.where("not held"), "prefetch": ahead, "evict": gone}
-    out = None
-    for kind, rows in kinds.items():
-        part = rows.select("session", F.lit(kind).alias("kind"), "z", "x", "y")
-        out = part if out is None else out.unionByName(part)
-    return out
+    seen = met.withColumns({"deepest": F.max(F.when(F.expr("role = 'coarser' and held"), F.col("z"))).over(own), "hole": F.max(F.expr("role = 'target' and not held")).over(own)})
+    kinds = F.array_compact(
+        F.array(
+            flag("role = 'target' or (role = 'coarser' and held and hole and z = deepest)", "draw"),
+            flag("role = 'target' and not held", "missing"),
+            flag("role = 'coarser' and not held", "fallback"),
+            flag(f"role = 'next' and not held and zoom + {PREFETCH_ZOOM} >= z", "prefetch"),
+        )
+    )
+    said = seen.select("session", F.explode(kinds).alias("kind"), "z", "x", "y")
+    m = KEEP_MARGIN
+    near = lambda s: (s["z"] == F.col("z")) & F.col("x").between(s["x0"] - m, s["x1"] + m) & F.col("y").between(s["y0"] - m, s["y1"] + m)
+    gone = held.join(cams.select("session", "spans"), "session").where(~F.exists("spans", near)).select("session", F.lit("evict").alias("kind"), "z", "x", "y")
+    return said.unionByName(gone)
 
 
 def ancestors(tiles: DataFrame, depth: int = 4) -> DataFrame:

@@ -12,27 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions import grid
 from ..operators import residency
 
 TILE_STATE = "z int, x long, y long"
 PLANNED = "session string, at timestamp, kind string, z int, x long, y long"
 
 
-def spanned(cameras: DataFrame, levels: list[int]) -> DataFrame:
-    """Camera events (session, at, lon, lat, zoom, width, height) with the spans of every level that matters, as one array."""
-    known = F.array(*[F.lit(z) for z in sorted(set(levels))])
-    target = residency.target_level(F.col("zoom"), known)
-    after = F.array_min(F.filter(known, lambda z: z > target))
-
-    def span(z):
-        s = grid.tile_span(F.col("lon"), F.col("lat"), F.col("zoom"), z, F.col("width"), F.col("height"))
-        role = F.when(z == target, "target").when(z < target, "coarser").when(z == after, "next")
-        return F.struct(role.alias("role"), z.alias("z"), *[s[k].alias(k) for k in ("x0", "y0", "x1", "y1")])
-
-    return cameras.withColumn("spans", F.filter(F.transform(known, span), lambda s: s["role"].isNotNull()))
-
-
 def _tiles(s) -> Iterator[tuple[int, int, int]]:
     top = (1 << s["z"]) - 1
     for y in range(max(s["y0"], 0), min(s["y1"], top) + 1):
@@ -76,7 +61,7 @@ class Planner(StatefulProcessor):
 
 def demand(cameras: DataFrame, levels: list[int]) -> DataFrame:
     """Plan rows of a camera stream; sessions are strings."""
-    events = spanned(cameras, levels).select(F.col("session").cast("string").alias("session"), "at", "zoom", "spans")
+    events = residency.spanned(cameras, levels).select(F.col("session").cast("string").alias("session"), "at", "zoom", "spans")
     return events.groupBy("session").transformWithStateInPandas(Planner(), PLANNED, "Append", "None")
 
 
