@@ -120,7 +120,7 @@ def claimed_levels(spark, sf_dir):
     return conf.claimed_levels(_claims(spark, sf_dir)).select(F.col("level").cast("int").alias("level"))
 
 
-_HELD = _sql_tiles((6, 8, 10), "event_id % 3 = 0")
+_HELD = f"(SELECT CAST(level AS INTEGER) AS z, CAST({i.sql_tile(_X, 'level')} AS BIGINT) AS x, CAST({i.sql_tile(_Y, 'level')} AS BIGINT) AS y FROM {_PARTS.replace('AS level, (', 'AS lv, (')} AS p, {i.sql_levels((6, 8, 10))})"
 
 
 @query(f"""
@@ -131,7 +131,9 @@ SELECT t.z, t.x, t.y, CAST(sz AS INTEGER) AS sz, round(1.0 / power(2.0, t.z - sz
 def ancestor_lookup(spark, sf_dir):
     """The nearest held ancestor of each tile, four levels up at most, and the window of its raster."""
     t = _tiles(spark, sf_dir, (12,)).select("z", "x", "y").distinct()
-    held = _tiles(spark, sf_dir, (6, 8, 10), "event_id % 3 = 0")
+    held = _parts(spark, sf_dir).select("lon", "lat", F.explode(F.array(*map(F.lit, (6, 8, 10)))).alias("z"))
+    a = grid.locate(F.col("lon"), F.col("lat"), F.col("z"))
+    held = held.select("z", a["x"].cast("long").alias("x"), a["y"].cast("long").alias("y"))
     return residency.nearest_ancestor(t, held).select("z", "x", "y", F.col("sz").cast("int").alias("sz"), F.round("scale", 9).alias("scale"), F.round("offset_x", 9).alias("offset_x"))
 
 
@@ -147,26 +149,30 @@ def level_asof(spark, sf_dir):
 
 
 def _cameras(spark, sf_dir):
-    e = i.points(spark, sf_dir).where("event_id % 50 = 0")
-    return e.select(F.col("event_id").alias("session"), "lon", "lat", (F.lit(1.0) + (F.col("event_id") % 9) / 2.0).alias("zoom"), F.lit(1024).alias("width"), F.lit(768).alias("height"))
+    """One session per customer."""
+    k = F.col("c_custkey")
+    return i.table(spark, sf_dir, "customer").select(k.alias("session"), i.lon_of(k).alias("lon"), i.lat_of(k).alias("lat"), (F.lit(1.0) + (k % 9) / 2.0).alias("zoom"), F.lit(1024).alias("width"), F.lit(768).alias("height"))
 
 
 RESIDENCY_LEVELS = [0, 2, 4, 6]
 
 
 def _resident(spark, sf_dir):
-    """Every session holds the tiles of one tenth of the events, chosen by its key."""
-    t = _tiles(spark, sf_dir, (0, 2, 4, 6, 7), "event_id % 3 = 0").select((F.col("event_id") % 10).alias("d"), "z", "x", "y").distinct()
-    c = _cameras(spark, sf_dir).select("session", (F.floor(F.col("session") / 50) % 10).alias("d"))
-    return c.join(t, "d").select("session", "z", "x", "y")
+    """Every session holds the tiles of its user's events, and its own at two levels."""
+    k = F.col("c_custkey")
+    e = i.table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), i.lon_of(F.col("event_id")).alias("lon"), i.lat_of(F.col("event_id")).alias("lat"), F.explode(F.array(*map(F.lit, (0, 2, 4, 6, 7)))).alias("z"))
+    own = i.table(spark, sf_dir, "customer").select(k.alias("session"), i.lon_of(k).alias("lon"), i.lat_of(k).alias("lat"), F.explode(F.array(F.lit(2), F.lit(6))).alias("z"))
+    at = grid.locate(F.col("lon"), F.col("lat"), F.col("z"))
+    return e.unionByName(own).select("session", "z", at["x"].cast("long").alias("x"), at["y"].cast("long").alias("y"))
 
 
 _SPAN = lambda z: ", ".join(f"CAST(floor({share} * power(2.0, greatest(zoom, {z})) * 256.0 / (power(2.0, greatest(zoom, {z})) * 256.0 / power(2.0, {z})) {sign} {half} / (power(2.0, greatest(zoom, {z})) * 256.0 / power(2.0, {z}))) AS BIGINT) AS {n}" for n, share, sign, half in (("x0", _X, "-", 512.0), ("x1", _X, "+", 512.0), ("y0", _Y, "-", 384.0), ("y1", _Y, "+", 384.0)))
 
 
 @query(f"""
-WITH c AS (SELECT event_id AS session, lon, lat, 1.0 + (event_id % 9) / 2.0 AS zoom FROM {i.SQL_POINTS} WHERE event_id % 50 = 0),
-h AS (SELECT DISTINCT session, z, x, y FROM c JOIN (SELECT DISTINCT event_id % 10 AS d, z, x, y FROM {_sql_tiles((0, 2, 4, 6, 7), "event_id % 3 = 0")}) AS t ON (session // 50) % 10 = d),
+WITH c AS (SELECT part_id AS session, lon, lat, 1.0 + (part_id % 9) / 2.0 AS zoom FROM {_PARTS}),
+p AS (SELECT user_id AS session, lon, lat, level FROM {i.SQL_POINTS} AS q JOIN events USING (event_id), {i.sql_levels((0, 2, 4, 6, 7))} UNION ALL SELECT session, lon, lat, level FROM c, {i.sql_levels((2, 6))}),
+h AS (SELECT DISTINCT session, CAST(level AS INTEGER) AS z, CAST({i.sql_tile(_X, "level")} AS BIGINT) AS x, CAST({i.sql_tile(_Y, "level")} AS BIGINT) AS y FROM p WHERE session IN (SELECT session FROM c)),
 r AS (SELECT *, CASE WHEN zoom >= 6 THEN 6 WHEN zoom >= 4 THEN 4 WHEN zoom >= 2 THEN 2 ELSE 0 END AS target FROM c),
 s AS (SELECT session, zoom, CAST(z AS INTEGER) AS z, CASE WHEN z = target THEN 'target' WHEN z < target THEN 'coarser' ELSE 'next' END AS role, {_SPAN("z")} FROM r, (VALUES (0), (2), (4), (6)) AS v(z) WHERE z <= target + 2),
 w AS (SELECT s.session, zoom, role, s.z, x, y, h.session IS NOT NULL AS held FROM (SELECT session, zoom, role, z, x, unnest(range(greatest(y0, 0), least(y1, (1 << z) - 1) + 1)) AS y FROM (SELECT *, unnest(range(greatest(x0, 0), least(x1, (1 << z) - 1) + 1)) AS x FROM s)) AS s LEFT JOIN h USING (session, z, x, y)),

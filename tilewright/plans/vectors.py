@@ -121,10 +121,10 @@ def member_suppression(spark, sf_dir):
     return assembly.own_ways(assembly.kept_ways(ways, kept)).select("id", F.col("class").isNotNull().alias("classified"))
 
 
-@query(f"SELECT l_orderkey AS id, CAST(pos AS INTEGER) AS pos, l_partkey AS node, (l_partkey * 7919 % 359999) / 1000.0 - 180.0 AS lon FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS pos FROM lineitem WHERE l_orderkey % 4 = 0)")
+@query(f"SELECT l_orderkey AS id, CAST(pos AS INTEGER) AS pos, l_partkey AS node, (l_partkey * 7919 % 359999) / 1000.0 - 180.0 AS lon FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS pos FROM lineitem)")
 def way_vertices(spark, sf_dir):
     """Node ids of ways resolved to coordinates in node order."""
-    li = i.table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")
+    li = i.table(spark, sf_dir, "lineitem")
     v = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
     ways = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.sort_array(F.collect_list(v)), lambda p: p["l_partkey"]).alias("nodes"))
     nodes = i.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), i.lon_of(F.col("p_partkey")).alias("lon"), i.lat_of(F.col("p_partkey")).alias("lat"))
@@ -158,11 +158,16 @@ def clip_parts(spark, sf_dir):
     return parts.parts(_features(spark, sf_dir), [5, 8]).groupBy("z", "class").agg(F.count("*").alias("parts"), F.sum(F.size("vertices")).alias("vertices"), F.sum(F.size("holes")).alias("holes"))
 
 
-@query(f"SELECT id, z, x, y FROM (SELECT o_orderkey AS id, 10 AS z, {i.sql_tile(i.sql_mx('lon'), '10')} AS x, {i.sql_tile(i.sql_my('lat'), '10')} AS y FROM (SELECT o_orderkey, (o_orderkey * 7919 % 359999) / 1000.0 - 180.0 AS lon, least(greatest((o_orderkey * 104729 % 169999) / 1000.0 - 85.0, -70.0), 70.0) AS lat FROM orders WHERE o_orderkey % 4 = 3))")
+_REACH = "CASE o_orderkey % 4 WHEN 0 THEN [1.2, 0.9] WHEN 3 THEN [0.0, 0.0] ELSE [1.0, 1.0] END"
+
+
+@query(f"""
+WITH f AS (SELECT o_orderkey AS id, (o_orderkey * 7919 % 359999) / 1000.0 - 180.0 AS lon, least(greatest((o_orderkey * 104729 % 169999) / 1000.0 - 85.0, -70.0), 70.0) AS lat, {_REACH} AS d FROM orders),
+t AS (SELECT id, {i.sql_tile(i.sql_mx('lon'), '5')} AS x, {i.sql_tile(i.sql_my('lat'), '5')} AS y, {i.sql_tile(i.sql_mx('(lon + d[1])'), '5')} AS x1, {i.sql_tile(i.sql_my('(lat + d[2])'), '5')} AS y1 FROM f)
+SELECT id, 5 AS z, x, y FROM t WHERE x = x1 AND y = y1""")
 def one_tile_features(spark, sf_dir):
-    """Features that lie in one tile at level 10: here, all points."""
-    f = _features(spark, sf_dir).where("id % 4 = 3")
-    return parts.one_tile(f, 10).select("id", "z", "x", "y")
+    """Features whose vertices all lie in one tile at level 5."""
+    return parts.one_tile(_features(spark, sf_dir), 5).select("id", "z", "x", "y")
 
 
 # Rasters.
@@ -233,11 +238,11 @@ def stride_cells(spark, sf_dir):
 
 
 @query("""
-SELECT CAST((2 - (n_nationkey // 2) % 2 - 1) * 2 + r AS INTEGER) AS row, CAST((n_nationkey % 2) * 3 + c AS INTEGER) AS col, n_nationkey * 100 + r * 10 + c AS v FROM nation, range(0, 2) AS a(r), range(0, 3) AS b(c) WHERE n_nationkey < 4""")
+SELECT CAST((4 - n_nationkey // 5) * 2 + r AS INTEGER) AS row, CAST((n_nationkey % 5) * 3 + c AS INTEGER) AS col, n_nationkey * 100 + r * 10 + c AS v FROM nation, range(0, 2) AS a(r), range(0, 3) AS b(c)""")
 def mosaic_cells(spark, sf_dir):
-    """Four equal grids as one."""
+    """Equal grids, five by five, as one."""
     n = F.col("n_nationkey")
-    g = i.table(spark, sf_dir, "nation").where("n_nationkey < 4").select(n.alias("grid_id"), ((n % 2) * F.lit(30.0)).alias("west"), (F.floor(n / 2) * F.lit(20.0)).alias("south"), F.lit(3).alias("width"), F.lit(2).alias("height"))
+    g = i.table(spark, sf_dir, "nation").select(n.alias("grid_id"), ((n % 5) * F.lit(30.0)).alias("west"), (F.floor(n / 5) * F.lit(20.0)).alias("south"), F.lit(3).alias("width"), F.lit(2).alias("height"))
     g = g.withColumns({"east": F.col("west") + 30.0, "north": F.col("south") + 20.0})
     c = g.select("grid_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(2))))
     c = c.withColumn("v", (F.col("grid_id") * 100 + F.col("row") * 10 + F.col("col")).cast("long"))
@@ -348,11 +353,11 @@ def alpha_smoothing(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT p_partkey, p_size % 7 AS material, row_number() OVER (ORDER BY p_size % 7, p_partkey) AS pos FROM part WHERE p_partkey % 10 = 0)
+WITH m AS (SELECT p_partkey, p_size % 7 AS material, row_number() OVER (ORDER BY p_size % 7, p_partkey) AS pos FROM part)
 SELECT material, min(pos) AS first, count(*) AS n FROM m GROUP BY material""")
 def material_ranges(spark, sf_dir):
     """Contiguous ranges of buildings sorted by material, by gaps and islands inside each group of tiles."""
-    p = i.table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select("p_partkey", (F.col("p_size") % 7).alias("material"))
+    p = i.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 7).alias("material"))
     n = p.groupBy("material").agg(F.count("*").alias("n"))
     first = F.sum("n").over(Window.orderBy("material").rowsBetween(Window.unboundedPreceding, -1))  # a row a material
     return n.select("material", (F.coalesce(first, F.lit(0)) + 1).alias("first"), "n")
