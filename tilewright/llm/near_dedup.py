@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 
 from .common import dropped, written
 
-BANDS = 40
+#: Band keys, and coordinates of a sketch; the first bands * rows coordinates make the keys, all of them judge late pairs.
+BANDS, SKETCH = 40, 640
 #: The most rows a band may have is the largest for which a pair at the threshold shares fewer than two keys at most this often.
 MISS = 1e-5
 FULL = np.uint64(2**64 - 1)
@@ -169,9 +170,9 @@ def sketches(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int
             lo = 0
             for part in _groups(batch.column(1).to_pylist(), lambda x: len(x or "") // 5, GROUP, GROUP_WORDS):
                 sets = shingle_sets([words(x) for x in part], k)
-                found = sketch(sets, bands * rows)
+                found = sketch(sets, max(SKETCH, bands * rows))
                 digest = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists(band_keys(found, bands, rows)), lists(nibbles(found))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists(band_keys(found[:, : bands * rows], bands, rows)), lists(nibbles(found))], names=schema.names)
                 lo += len(part)
 
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -269,7 +270,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     x, y = (rest.select(*[F.col(c).alias(c + s) if c != "key" else F.col(c) for c in rest.columns]) for s in ("_x", "_y"))
     common = F.array_intersect("keys_x", "keys_y")
     meet = (F.col("id_x") < F.col("id_y")) & (F.col("comp_x") != F.col("comp_y")) & _sizes_fit("n_x", "n_y", threshold) & ~_apart("far_x", "far_y", threshold)
-    close = _differing("bits_x", "bits_y", -(-bands * rows // 16)) <= most_differing(threshold, bands * rows)
+    t = max(SKETCH, bands * rows)
+    close = _differing("bits_x", "bits_y", -(-t // 16)) <= most_differing(threshold, t)
     x, y = x.alias("x"), y.alias("y")
     late = x.join(y, (F.col("x.key") == F.col("y.key")) & meet & close & (F.size(common) > 1) & (F.array_min(common) == F.col("x.key")))
     late = late.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
