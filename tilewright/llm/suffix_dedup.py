@@ -37,6 +37,8 @@ from .common import written
 WINDOW, GRAM = 50, 16
 #: Bytes of text in a chunk, bytes of text per shard, and batches that a shard takes in one round.
 CHUNK, SHARD, FAN = 1 << 20, 4 << 20, 1024
+#: Suffixes that a batch has at least where smaller ones enter a family together.
+BATCH = 1 << 15
 _NULL = -(2**63)
 _TABLE = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -126,7 +128,10 @@ class Family:
         self.levels: list = []
 
     def _settle(self, entries: np.ndarray) -> np.ndarray:
-        """The entries in array order without those that a smaller document of the same string outdoes; they are marked."""
+        """The entries in array order without those that a smaller document of the same string outdoes; they are marked.
+
+        Entries marked before are left out first, so a merge sorts each string once and has few equal neighbours to verify."""
+        entries = entries[~self.marked[entries]]
         order, first, sound = suffix_array(self.buf, self.finger[entries], self.at[entries])
         if not sound:
             self._rename()
@@ -382,11 +387,12 @@ def _merged(rows: DataFrame) -> DataFrame:
         begin = np.cumsum(width) - width
         at, which = _spread(begin, n), np.repeat(np.arange(len(n)), n)
         family = Family(buf, finger, doc[which], at)
-        lo = 0
-        for p in parts:
-            size = int(p[3].sum())
-            family.add(np.arange(lo, lo + size))
-            lo += size
+        lo = hi = 0
+        for k, p in enumerate(parts):
+            hi += int(p[3].sum())
+            if hi - lo >= BATCH or k == len(parts) - 1:  # small batches enter together
+                family.add(np.arange(lo, hi))
+                lo = hi
         left = np.sort(family.last())
         where = pos[which] + (at - begin[which])
         out = np.flatnonzero(family.marked)
