@@ -39,6 +39,7 @@ def test_removal_equals_brute_force(docs, clash, monkeypatch, small):
         monkeypatch.setattr(sd, "CHUNK", 400)
         monkeypatch.setattr(sd, "SHARD", 500)
         monkeypatch.setattr(sd, "FAN", 3)
+        monkeypatch.setattr(sd, "BATCH", 40)
     texts = corpus(3 + small)
     want = brute([(i, (t or "").encode()) for i, t in enumerate(texts)])
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(clash(docs(texts))).collect()}
