@@ -86,6 +86,27 @@ def test_mix_meets_its_targets(spark, docs, clash, seed):
     assert words == sum(r.taken for r in out) and mixed.columns == df.columns
 
 
+def test_copies_follow_the_schedule_of_their_source(spark, docs):
+    rng = random.Random(3)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(1, 30))), "", "abc"[i % 3], 0) for i in range(900)]
+    df = spark.createDataFrame(rows, docs([""]).schema)
+    out = mixing.take(df).collect()
+    by = {r[0]: r[3] for r in rows}
+    target, tilt = {by[r.doc_id]: r.target for r in out}, dict(zip("abc", mixing.TILTS, strict=True))
+    assert any(r.target > 1.5 * r.source_size for r in out)
+    assert all(0 <= p <= 1 and r.position == r.positions[0] for r in out for p in r.positions or [])
+    due = lambda s, t: target[s] * (t + tilt[s] * (t * t - t))
+    seen = dict.fromkeys("abc", 0)
+    # Wherever the stream is cut, every source has given what its schedule asks by then.
+    for r in mixing.mixed(df).collect():
+        seen[r.source] += len(r.text.split())
+        lo, hi = 0.0, 1.0
+        for _ in range(40):
+            t = (lo + hi) / 2
+            lo, hi = (t, hi) if sum(due(s, t) for s in "abc") < sum(seen.values()) else (lo, t)
+        assert all(abs(seen[s] - due(s, lo)) < 100 for s in "abc")
+
+
 def test_mix_of_nothing(docs):
     assert mixing.take(docs([]).limit(0)).count() == 0
     assert [(r["size"], r.target, r.taken) for r in mixing.take(docs(["", None])).collect()] == [(0, 0.0, 0)] * 2

@@ -4,8 +4,8 @@
 2. take(): whole epochs and a partial one per document; inside a source documents stand in hash order and the partial epoch
    ends exactly where the target is reached, so a source's taken words equal its target rounded to whole words.
 3. schedule(): each source's weight over training time t in 0..1 is w(t) = 1 + tilt * (2t - 1).  Its integral
-   W(t) = t + tilt * (t*t - t) is the share of the source's tokens due by t; inverting it at a document's cumulative demand
-   gives the document's position, and rows are range-sorted by it.
+   W(t) = t + tilt * (t*t - t) is the share of the source's tokens due by t; inverting it at a copy's cumulative demand, that
+   of the whole epochs before it and of the documents before it, gives the copy's position, and copies are range-sorted by it.
 
 Running sums inside a source go over hash buckets first and then inside a bucket, so no task holds one source's documents.
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; documents of size 0 take 0; equal
@@ -47,9 +47,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP, share: flo
 
 
 def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = CAP, share: float = 1.0, tilts=TILTS, carry: bool = False) -> DataFrame:
-    """(key, size, source_size, target, taken, position), unsorted; position is null where nothing is taken.
+    """(key, size, source_size, target, taken, position, positions), unsorted.
 
-    With carry, the whole row comes along as the struct `row`."""
+    positions holds the training position in 0..1 of each copy of the document, and position the first of them; both are null
+    where nothing is taken.  With carry, the whole row comes along as the struct `row`."""
     h = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
     row = [F.struct("*").alias("row")] * carry
     sized = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words_of(F.col(text)).alias("size"), h.alias("h"), *row), "mix-sizes")
@@ -77,16 +78,21 @@ def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     epochs = F.when(F.col("source_size") > 0, F.floor(due / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = due - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    # The first epoch reaches the document when `before` of the source's `target` tokens are behind it.
-    behind = F.when(F.col("target") > 0, F.least(F.lit(1.0), F.col("before") / F.col("target"))).otherwise(F.lit(0.0))
     a = F.col("tilt")
-    root = F.when(a == 0, behind).otherwise((a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * behind)) / (2 * a))
-    out = placed.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, root))
-    return out.select(F.col("key").alias(key), "size", "source_size", "target", "taken", "position", *["row"] * carry)
+
+    def at(copy: Column) -> Column:
+        # Epoch `copy` reaches the document when copy - 1 whole epochs and `before` of the source's `target` tokens are behind it.
+        behind = F.least(F.lit(1.0), ((copy - 1) * F.col("source_size") + F.col("before")) / F.col("target"))
+        return F.when(a == 0, behind).otherwise((a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * behind)) / (2 * a))
+
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    out = placed.withColumn("taken", taken.cast("long"))
+    out = out.withColumn("position", F.when(F.col("taken") > 0, at(F.lit(1)))).withColumn("positions", F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(1), copies), at)))
+    return out.select(F.col("key").alias(key), "size", "source_size", "target", "taken", "position", "positions", *["row"] * carry)
 
 
 def curriculum(docs: DataFrame, **how) -> DataFrame:
-    """take() range-sorted by training position; rows that the mix leaves out come last."""
+    """take() range-sorted by the position of the first copy; rows that the mix leaves out come last."""
     key = how.get("key", "doc_id")
     return take(docs, **how).orderBy(F.col("position").asc_nulls_last(), key)
 
@@ -95,12 +101,12 @@ def mixed(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """The rows of the mix itself, with the columns of docs, range-sorted by position.
 
     A document stands there once per whole epoch taken, and once more with its first words where an epoch takes it in part
-    (these words joined by single spaces); documents of which nothing is taken are absent."""
+    (these words joined by single spaces), each copy at its own place in training; documents of which nothing is taken are
+    absent."""
     got = take(docs, text=text, carry=True, **how).where("taken > 0")
     rest = F.col("taken") % F.col("size")
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    each = got.select("position", "size", "taken", "row", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
-    part = (rest > 0) & (F.col("copy") == copies)
+    each = got.select("size", "taken", "row", F.size("positions").alias("copies"), F.posexplode("positions").alias("copy", "at"))
+    part = (rest > 0) & (F.col("copy") + 1 == F.col("copies"))
     body = F.when(part, F.array_join(F.slice(words_of(F.col(f"row.{text}")), F.lit(1), rest.cast("int")), " ")).otherwise(F.col(f"row.{text}"))
     columns = [body.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return each.orderBy(F.col("position") + F.col("copy") - 1).select(*columns)
+    return each.orderBy("at").select(*columns)
