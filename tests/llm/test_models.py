@@ -32,6 +32,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert right > 0.93 and caught > 0.75
 
 
+def test_toxicity_in_languages_with_few_labelled_rows(spark):
+    y = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+    held = queries.op10_toxicity(spark, SF).where("held_out").join(y, "doc_id").join(docs, "doc_id").where("toxic is not null").collect()
+    caught = lambda some: np.mean([r.predicted for r in held if r.toxic == 1 and some(r)])
+    # Not English: inflections of stems that clean texts hold as well.
+    assert caught(lambda r: r.lang != "en") > 0.85 and caught(lambda r: True) > 0.85
+    assert np.mean([r.predicted for r in held if r.toxic == 0]) < 0.03 and np.mean([r.predicted == r.toxic for r in held]) > 0.97
+    labels = y.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    m = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels)
+    # One insult is enough, though most toxic texts hold several.
+    for word in ("trash", "pathetic", "idiot", "loser", "disgusting", "moron", "worthless", "stupid", "scum", "clown"):
+        assert m.scores([f"Some lines at rest. You {word} there."])[0] > 0.5, word
+
+
 def toy(n=400, seed=4):
     rng, texts, y = random.Random(seed), [], []
     common = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 8))) for _ in range(200)]

@@ -4,12 +4,15 @@ Units are words (edge punctuation stripped; four or more single characters in a
 The kernel of two words counts their common subsequences of three letters, each occurrence weighted by DECAY to the length it
 spans (at most SPAN), and is normalised, so inserted characters and gaps lower it but do not break it; marks inside a word are
 gaps only.  The Nystroem map of the kernel values with the landmarks gives a word's features, and a linear SVM (squared hinge)
-judges them; a sentence is as toxic as its worst word, a text as its worst sentence.  Training takes labelled sentences as bags
-of words: each toxic text has some word that must be toxic, chosen anew by the last SVM in each round, and the words of clean
-texts are clean.  Margins become scores through a logistic curve fitted to the training texts.
+judges them; a text is as toxic as its WORST worst words, wherever they stand.  Training takes labelled sentences as bags of
+words: each toxic text has some word that must be toxic, chosen anew by the last SVM in each round, and the words of clean
+texts are clean, each counted as often as clean texts hold it.  A logistic curve fitted to the training texts makes a score of
+the margins of the worst words, so that several doubtful words weigh more than one, and of the strongest evidence: a word's
+similarity to its nearest landmark times that landmark's log odds in toxic texts, by which one plain insult is enough.
 
 Landmarks are training words that occur in toxic texts far more often than in clean ones, chosen greedily to cover toxic
-texts by kernel similarity.  Kernel values below NEAR count as 0, so most words have no features.
+texts by kernel similarity, and clean words that resemble them, so that a stem and its toxic inflections can be told apart.
+Kernel values below NEAR count as 0, so most words have no features.
 
 The model is fitted on at most SAMPLE labelled rows (smallest hashes first, whole texts, as word sets); every whole text is
 scored.  Defined cases: null and empty texts have no sentence and score as the clean end of the curve; null labels teach
@@ -30,6 +33,8 @@ from pyspark.sql import types as T
 
 #: Most labelled rows that fit() learns from, most landmarks, and the words that a worker remembers.
 SAMPLE, LANDMARKS, CACHE = 6_000, 160, 400_000
+#: So many of a text's largest margins make its score; a clean landmark's least similarity to a toxic one.
+WORST, ALIKE = 2, 0.5
 DECAY, SPAN, LENGTH, STEP, NEAR = 0.7, 7, 16, 6, 0.35
 EDGE = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»“”„’‘…¡¿"
 SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
@@ -157,33 +162,40 @@ class Kernel:
 
 
 class Model:
-    def __init__(self, kernel: Kernel, weights: np.ndarray, bias: float, slope: float, offset: float):
-        self.kernel, self.weights, self.slope, self.offset, self.bias = kernel, weights, slope, offset, bias
-        self.near: dict[str, float] = {}
+    def __init__(self, kernel: Kernel, weights: np.ndarray, bias: float, odds: np.ndarray, curve: np.ndarray):
+        self.kernel, self.weights, self.bias, self.odds, self.curve = kernel, weights, bias, odds, curve
+        self.near: dict[str, tuple[str, tuple[float, float]]] = {}
         self.known: set[str] = set()
 
     def __getstate__(self):
         return self.__dict__ | {"near": {}, "known": set()}
 
     def learn(self, tokens: set[str]) -> None:
-        """Remember the margin of every token whose kernel values are not all 0."""
+        """Remember the plain word, the margin and the evidence of every token whose kernel values are not all 0."""
         new = tokens - self.known
         if len(self.known) + len(new) > CACHE:
             self.known, self.near = set(), {}
             new = tokens
         plain = {t: normal(t) for t in new}
         rows = self.kernel.rows(list({w for w in plain.values() if len(w) >= 3}))
-        margins = {w: float(k @ self.weights) + self.bias for w, k in rows.items()}
-        self.near |= {t: margins[w] for t, w in plain.items() if w in margins}
+        margins = {w: (float(k @ self.weights) + self.bias, float(k.max() * self.odds[k.argmax()])) for w, k in rows.items()}
+        self.near |= {t: (w, margins[w]) for t, w in plain.items() if w in margins}
         self.known |= new
 
     def scores(self, texts: list[str]) -> list[float]:
-        """A text's margin is the largest of its words, which is the largest of its sentences."""
+        """A text's score comes from the largest margins and the strongest evidence of its distinct words."""
         bags = [set(_joined(t.lower().split())) for t in texts]
         if not (words := set().union(*bags)) <= self.known:
             self.learn(words)
-        margins = np.array([max([self.bias, *(self.near[w] for w in bag if w in self.near)]) for bag in bags])
-        return (1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -50, 50)))).tolist()
+        z = np.array([worst(dict(self.near[w] for w in bag if w in self.near).values(), self.bias) for bag in bags]).reshape(-1, WORST + 2)
+        return (1 / (1 + np.exp(-np.clip(z @ self.curve, -50, 50)))).tolist()
+
+
+def worst(words, bias: float) -> list[float]:
+    """The WORST largest margins, none below that of a word without features, the strongest evidence, and 1."""
+    words = list(words)
+    top = sorted((max(m, bias) for m, _ in words), reverse=True)[:WORST]
+    return [*top, *[bias] * (WORST - len(top)), max([0.0, *(e for _, e in words)]), 1.0]
 
 
 class Constant:
@@ -230,10 +242,20 @@ def choose_landmarks(words: list[str], bags: list[np.ndarray], y: np.ndarray, mo
     return chosen
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss and class weights, by Newton steps on the active set; y in -1, 1."""
+def contrasts(chosen: list[str], words: list[str], bags: list[np.ndarray], y: np.ndarray, most: int) -> list[str]:
+    """Words of two or more clean texts that are no more frequent in toxic ones twice over, most frequent and most alike first."""
+    count = lambda label: np.bincount(np.concatenate([*(b for b, v in zip(bags, y, strict=True) if v == label), np.empty(0, np.int64)]).astype(np.int64), minlength=len(words))
+    good, bad = count(0), count(1)
+    some = np.flatnonzero((good >= 2) & (2 * good / (y == 0).sum() > bad / (y == 1).sum()))
+    times = {words[i]: int(good[i]) for i in some if 3 <= len(words[i]) <= LENGTH}
+    alike = {w: float(k.max()) for w, k in Kernel(chosen).rows(list(times)).items() if k.max() >= ALIKE and w not in chosen}
+    return sorted(alike, key=lambda w: (-times[w] * alike[w], w))[:most]
+
+
+def svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, c: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss, rows that count `times` and class weights, by Newton steps on the active set; y in -1, 1."""
     z = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * c / len(y) * 100
+    weight = times / (2 * np.where(y > 0, max(1, times[y > 0].sum()), max(1, times[y < 0].sum()))) * c * 100
     ridge = np.diag([1.0] * x.shape[1] + [1e-3])
     w = np.zeros(z.shape[1])
     loss = lambda v: 0.5 * v @ ridge @ v + (weight * np.maximum(0, 1 - y * (z @ v)) ** 2).sum()
@@ -258,9 +280,10 @@ def train(docs, y: np.ndarray, most: int = LANDMARKS, rounds: int = 6):
     numbers: dict[str, int] = {}
     bags = [np.unique(np.array([numbers.setdefault(n, len(numbers)) for s in d for w in s if len(n := normal(w)) >= 3], np.int32)) for d in docs]
     words = list(numbers)
-    kernel = Kernel(choose_landmarks(words, bags, y, most))
-    if not kernel.landmarks:
+    chosen = choose_landmarks(words, bags, y, most)
+    if not chosen:
         return Constant(0.0)
+    kernel = Kernel(chosen + contrasts(chosen, words, bags, y, most - len(chosen)))
     m = len(kernel.landmarks)
     rows: dict[str, np.ndarray] = {}
     for lo in range(0, len(words), 50_000):
@@ -273,30 +296,46 @@ def train(docs, y: np.ndarray, most: int = LANDMARKS, rounds: int = 6):
     place[[numbers[w] for w in near]] = np.arange(len(near))
     x = np.vstack([np.array([rows[w] for w in near]).reshape(-1, m) @ root, np.zeros((1, m))])
     bag = [k if len(k := place[b][place[b] >= 0]) else np.array([len(near)]) for b in bags]
-    clean = np.unique(np.concatenate([b for b, label in zip(bag, y, strict=True) if label == 0]))
+    every = np.concatenate([b for b, label in zip(bag, y, strict=True) if label == 0])
+    clean = np.unique(every)
     toxic = [b for b, label in zip(bag, y, strict=True) if label == 1]
-    # Start from each toxic text's word that clean texts use least, among those the one nearest to a landmark.
+    # Start from each toxic text's word that toxic texts hold most often for each time that clean ones do, a label or two being
+    # wrong; among equals the one nearest to a landmark.
     used = np.zeros(len(x))
-    np.add.at(used, clean, 1)
+    np.add.at(used, every, 1)
+    held = np.bincount(np.concatenate(toxic), minlength=len(x))
+    share = held / (used + 1)
+    # Words that toxic texts hold far more often, as landmarks are, are toxic in each of them beside the one that is chosen.
+    telling = (held >= 3) & (held / len(toxic) >= 8 * (used + 0.5) / max(1, len(bag) - len(toxic)))
+    telling[len(near)] = False
+    always = [int(k) for b in toxic for k in b[telling[b]]]
     close = np.append([rows[w].max() for w in near], 0.0)
-    pick = [int(b[np.lexsort((-close[b], used[b]))[0]]) for b in toxic]
+    pick = [int(b[np.lexsort((-close[b], -share[b]))[0]]) for b in toxic]
     for _ in range(rounds):
-        w, b0 = svm(np.vstack([x[pick], x[clean]]), np.append(np.ones(len(pick)), -np.ones(len(clean))))
+        bad = pick + always
+        w, b0 = svm(np.vstack([x[bad], x[clean]]), np.append(np.ones(len(bad)), -np.ones(len(clean))), np.append(np.ones(len(bad)), used[clean]))
         margin = x @ w + b0
         then = [int(b[np.argmax(margin[b])]) for b in toxic]
         if then == pick:
             break
         pick = then
-    top = np.array([margin[b].max() for b in bag])
-    # Logistic curve of the margin by Newton steps, with the labels smoothed as Platt does.
+    # Logistic curve of the worst margins by Newton steps, with the labels smoothed as Platt does.
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    z, v = np.stack([top, np.ones(len(top))], 1), np.array([1.0, 0.0])
-    for _ in range(50):
+    plain = kernel.landmarks
+    seen = [np.bincount(np.concatenate([*(b for b, v in zip(bags, y, strict=True) if v == label), np.empty(0, np.int64)]).astype(np.int64), minlength=len(words))[[numbers[w] for w in plain]] for label in (1, 0)]
+    odds = np.log((seen[0] + 0.5) / n1 * n0 / (seen[1] + 0.5))
+    evidence = np.append([rows[w].max() * odds[rows[w].argmax()] for w in near], 0.0)
+    z, v = np.array([worst(zip(margin[b], evidence[b], strict=True), b0) for b in bag]), np.eye(WORST + 2)[0]
+    ridge = np.diag([1e-2] * (WORST + 1) + [1e-6])
+    # A toxic text that is missed costs more than a clean one that is flagged, by the root of the classes' ratio.
+    cost = np.where(y == 1, max(1.0, np.sqrt(n0 / n1)), 1.0)
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ v, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (p - target))
+        step = np.linalg.solve((z * (cost * p * (1 - p) + 1e-6)[:, None]).T @ z + ridge, z.T @ (cost * (p - target)) + ridge @ v)
         v = v - np.clip(step, -2, 2)
-    return Model(kernel, root @ w, b0, max(float(v[0]), 1e-3), float(v[1]))
+        v[:-1] = np.maximum(v[:-1], 0.0)  # no word makes a text less toxic
+    return Model(kernel, root @ w, b0, odds, v)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE):
