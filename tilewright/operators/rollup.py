@@ -23,8 +23,9 @@ def worst(spans: DataFrame, by: tuple[str, ...], blocking=BLOCKING) -> DataFrame
 
 
 def busiest(spans: DataFrame, by: tuple[str, ...], blocking=BLOCKING) -> DataFrame:
-    """The blocking phase with the largest total, the first by name of equals."""
-    t = spans.where(F.col("phase").isin(*blocking)).groupBy(*by, "phase").agg(F.sum("ms").alias("total"))
+    """The blocking phase with the largest total, the first by name of equals; without blocking, of all phases."""
+    held = spans if blocking is None else spans.where(F.col("phase").isin(*blocking))
+    t = held.groupBy(*by, "phase").agg(F.sum("ms").alias("total"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("total").desc(), "phase"))
     return t.withColumn("r", rank).where("r = 1").select(*by, "phase", F.round("total", 2).alias("total_ms"))
 
