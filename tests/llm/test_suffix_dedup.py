@@ -47,24 +47,77 @@ def test_removal_equals_brute_force(docs, clash, monkeypatch, small):
     assert sum(v[1] for v in want.values()) > 1000
 
 
-def test_collisions_of_fingerprints_do_not_remove(docs, monkeypatch):
-    weak = sd.window_hashes
-    family = sd.Family
+def marked(rows, batch):
+    """For each window of each row, as (document, place in the text): whether a family marks it."""
+    buf = sd._padded(*[np.frombuffer(t, np.uint8) for _, t in rows])
+    start, windows = sd._bounds([i for i, _ in rows], np.array([len(t) for _, t in rows], np.int64))
+    n, left = sd.segments(buf, start, windows)
+    assert n.astype(int).sum() == windows.sum()
+    ends = np.cumsum(windows)
+    seen = np.cumsum(n.astype(np.int64)) - n
+    own = np.searchsorted(ends, seen, "right")
+    at = seen - (ends - windows)[own] + start[own]
+    doc = np.array([i for i, _ in rows], np.int64)[own]
+    family = sd.Family(buf, at, left, n, doc)
+    for lo in range(0, len(at), batch):
+        family.add(np.arange(lo, min(len(at), lo + batch)))
+    family.finish()
+    first, count = family.marks(np.arange(len(at)), at)
+    gone = np.zeros(len(buf), bool)
+    gone[sd._spread(first, count)] = True
+    return {(k, p): bool(gone[start[k] + p]) for k in range(len(rows)) for p in range(int(windows[k]))}, family
+
+
+def repeated(rows):
+    least = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            w = t[p : p + 50]
+            least[w] = min(i, least.get(w, i))
+    return {(k, p): least[t[p : p + 50]] < i for k, (i, t) in enumerate(rows) for p in range(len(t) - 49)}
+
+
+def edited(seed, letters, n=40):
+    """Texts that share passages, are edited in places, run periodically and come in any order of documents."""
+    rng = random.Random(seed)
+    text = lambda k: bytes(rng.choice(letters) for _ in range(k))
+    shared, rows = [text(rng.randint(45, 300)) for _ in range(5)] + [text(3) * 60, text(1) * 90], []
+    for i in range(n):
+        t = b"".join(rng.choice([text(rng.randint(0, 60)), rng.choice(shared), rng.choice(shared)[rng.randint(0, 20) : rng.randint(40, 200)]]) for _ in range(rng.randint(0, 5)))
+        t = bytearray(rng.choice(rows)[1]) if rows and rng.random() < 0.3 else bytearray(t)
+        for _ in range(rng.randint(0, 2)):
+            if t:
+                t[rng.randrange(len(t))] = rng.choice(letters)
+        rows.append((rng.randrange(n), bytes(t)))
+    return rows
 
-    class Weak(family):
-        def __init__(self, buf, finger, doc, at):
-            super().__init__(buf, finger % np.uint64(7), doc, at)
 
-    assert weak
+@pytest.mark.parametrize("letters", [b"ab", b"abcdefghijklmnopqrstuvwxyz \n", bytes(range(256))])
+@pytest.mark.parametrize("batch", [7, 150, 10_000])
+def test_family_equals_brute_force(letters, batch):
+    for seed in range(12):
+        rows = edited(seed, letters)
+        got, family = marked(rows, batch)
+        assert got == repeated(rows)
+        sizes = [len(x).bit_length() for x in family.levels]
+        assert sizes == sorted(set(sizes), reverse=True)  # geometric levels
+
+
+def test_levels_are_suffix_arrays():
+    rows = edited(3, b"abcde")
+    _, family = marked(rows, 50)
+    for level in family.levels:
+        suffixes = [family.buf[a : a + 50].tobytes() for a in family.anchor[level]]
+        assert suffixes == sorted(suffixes)
+
+
+def test_collisions_of_fingerprints_do_not_remove(monkeypatch):
+    weak = sd.window_hashes
+    monkeypatch.setattr(sd, "window_hashes", lambda words, at: weak(words, at) % np.uint64(7))
     rng = random.Random(1)
-    rows = ["".join(rng.choice("ab") for _ in range(200)) for _ in range(6)]
-    buf = np.frombuffer("".join(rows + rows[:2]).encode(), np.uint8)
-    at = np.concatenate([np.arange(200 * i, 200 * i + 151) for i in range(8)])
-    doc = np.repeat(np.arange(8), 151)
-    f = Weak(buf, sd.window_hashes(*sd.gram_hashes(buf), at), doc, at)
-    for i in range(8):
-        f.add(np.flatnonzero(doc == i))
-    assert f.marked[doc >= 6].all() and not f.marked[doc < 6].any()
+    rows = ["".join(rng.choice("ab") for _ in range(200)).encode() for _ in range(6)]
+    got, _ = marked(list(enumerate(rows + rows[:2])), 100)
+    assert all(gone == (k >= 6) for (k, _), gone in got.items())
 
 
 def test_edge_cases(spark, docs):
