@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import corpus_pipeline
 import public_tokenizers as P
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ def test_stages_against_brute_force(spark):
     assert list(by) == ["toxicity", "near-dedup", "suffix-dedup", "mixing", "bpe"]
     clean = by["toxicity"](spark, docs, SF).cache()
     assert clean.columns == docs.columns and 0.8 < clean.count() / docs.count() < 1
+    assert not any(re.search("moron|clown|pathetic|disgusting", r.text) for r in clean.collect())
     y = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
     count = lambda df, label: df.join(y, "doc_id").where(F.col("toxic") == label).count()
     assert count(clean, 1) < 0.7 * count(docs, 1) and count(clean, 0) > 0.95 * count(docs, 0)

@@ -1,29 +1,35 @@
 """Toxicity: a support vector machine over a gapped-subsequence string kernel with Nystroem landmarks.
 
-Units are words (edge punctuation stripped; four or more single characters in a row are joined, so "i d i o t" is one word).
-The kernel of two words counts their common subsequences of three letters, each occurrence weighted by DECAY to the length it
-spans (at most SPAN), and is normalised, so inserted characters and gaps lower it but do not break it; marks inside a word are
-gaps only.  The Nystroem map of the kernel values with the landmarks gives a word's features, and a linear SVM (squared hinge)
-judges them; a text is as toxic as its WORST worst words, wherever they stand.  Training takes labelled sentences as bags of
-words: each toxic text has some word that must be toxic, chosen anew by the last SVM in each round, and the words of clean
-texts are clean, each counted as often as clean texts hold it.  A logistic curve fitted to the training texts makes a score of
-the margins of the worst words, so that several doubtful words weigh more than one, and of the strongest evidence: a word's
-similarity to its nearest landmark times that landmark's log odds in toxic texts, by which one plain insult is enough.
-
-Landmarks are training words that occur in toxic texts far more often than in clean ones, chosen greedily to cover toxic
-texts by kernel similarity, and clean words that resemble them, so that a stem and its toxic inflections can be told apart.
-Kernel values below NEAR count as 0, so most words have no features.
+Texts are cut into sentences and sentences into words, each with the spaces around it; letters only, so that marks inside a
+word are no part of it, and four or more single characters in a row are one word more ("i d i o t").  The kernel of two words
+counts the subsequences of three characters that they share, spaces included, each occurrence weighted by DECAY to the length
+it spans beyond three (at most SPAN characters), and is normalised; it is taken as it is, so it is positive definite.  Inserted
+characters and gaps lower it but do not break it.  Words over LENGTH characters are overlapping windows.
+
+Landmarks are words of toxic and of clean sentences in equal number, drawn without replacement with a chance that grows with the
+share of the class's texts that hold them.  The Nystroem map of a word's kernel values with them gives its features, and a
+linear SVM (squared hinge) judges them.  Training takes labelled sentences as bags of words: each toxic text has some word that
+must be toxic, and every further word that the last SVM calls toxic is so too, chosen anew in each round, half of the time with a
+foreign character inside; the words of clean
+texts are clean, each counted as often as clean texts hold it, and those further inside the margin than INSIDE are sought among
+all of them in each round.  A sentence is as toxic as its worst word, and a text's score is a logistic curve, fitted to the
+training texts, over the sum of the WORST largest margins of its sentences' words; a word on the clean side
+adds nothing, so a long clean text does not outweigh one insult.
+
+As features are linear in a word's subsequences, the SVM folds into one weight for each of them: a word's margin is the sum of
+those weights over its subsequences, divided by their norm, and does not depend on the number of landmarks.
 
 The model is fitted on at most SAMPLE labelled rows (smallest hashes first, whole texts, as word sets); every whole text is
-scored.  Defined cases: null and empty texts have no sentence and score as the clean end of the curve; null labels teach
-nothing; with one class, or no labels, every score is 0 (1 if all labels are toxic); repeated rows are scored alike.
+scored.  Defined cases: null and empty texts have no sentence and score as the clean end of the curve; null
+labels teach nothing; with one class, or no labels, every score is 0 (1 if all labels are toxic); repeated rows are scored
+alike; a text or label row that stands there twice teaches twice.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +38,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Most labelled rows that fit() learns from, most landmarks, and the words that a worker remembers.
-SAMPLE, LANDMARKS, CACHE = 6_000, 160, 400_000
-#: So many of a text's largest margins make its score; a clean landmark's least similarity to a toxic one.
-WORST, ALIKE = 2, 0.5
-DECAY, SPAN, LENGTH, STEP, NEAR = 0.7, 7, 16, 6, 0.35
-EDGE = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»“”„’‘…¡¿"
+SAMPLE, LANDMARKS, CACHE = 6_000, 1_000, 200_000
+#: A word is drawn as a landmark with a weight that is this power of the number of texts that hold it.
+POWER = 3
+#: The SVM's cost for each text, the margin beyond which clean words are not sought, and the most frequent clean words that it starts from.
+COST, INSIDE, START = 0.3, -0.5, 3000
+#: So many of a text's largest margins make its score, and how far the curve balances the classes.
+WORST, BALANCE = 2, 1.0
+DECAY, SPAN, LENGTH, STEP = 0.7, 7, 16, 6
 SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
 
 
-def normal(token: str) -> str:
-    return token.strip(EDGE)
-
-
 def _joined(words: list[str]) -> list[str]:
     """Words, followed by the join of each run of four or more single characters."""
     sizes = list(map(len, words))
@@ -64,278 +69,245 @@ def sentences(text: str) -> list[list[str]]:
     return [w for s in SENTENCE.split(text.lower()) if (w := _joined(s.split()))]
 
 
+def pieces(token: str) -> list[str]:
+    """A token's letters and digits between two spaces, in overlapping windows if they are many; none if they are fewer than three."""
+    word = token if token.isalnum() else "".join(filter(str.isalnum, token))
+    if len(word) < 3:
+        return []
+    word = f" {word} "
+    return [word] if len(word) <= LENGTH else [word[i : i + LENGTH] for i in range(0, len(word) - LENGTH + STEP, STEP)]
+
+
+def inserted(piece: str) -> list[str]:
+    """A piece with one character that no landmark has after each of its letters but the last."""
+    return [piece[:i] + "\ufffd" + piece[i:] for i in range(2, len(piece) - 1)]
+
+
 @functools.lru_cache(maxsize=64)
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Index triples of a word of n characters that span at most SPAN, and their weights."""
     t = [(i, j, k) for i in range(n) for j in range(i + 1, min(n, i + SPAN)) for k in range(j + 1, min(n, i + SPAN))]
     at = np.array(t, np.int64).reshape(-1, 3)
-    return at, DECAY ** (at[:, 2] - at[:, 0] - 2).astype(np.float64)
-
-
-@functools.lru_cache(maxsize=4)
-def _marks() -> np.ndarray:
-    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), np.int32, 0x110000)
-
-
-@functools.lru_cache(maxsize=4)
-def _alphabet(letters: str) -> np.ndarray:
-    """Code point -> number: these letters from 2 on, other letters and digits 1, marks 0."""
-    out = _marks().copy()
-    out[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
-    return out
-
-
-def _pieces(word: str) -> list[str]:
-    """A word, or the overlapping windows of a long one."""
-    return [word] if len(word) <= LENGTH else [word[i : i + LENGTH] for i in range(0, len(word) - LENGTH + STEP, STEP)]
+    return at, (DECAY ** (at[:, 2] - at[:, 0] - 2)).astype(np.float32)
 
 
 class Kernel:
-    """Similarities of words to landmarks through the landmarks' own subsequences."""
+    """Words (as pieces) as sparse vectors of subsequences over the characters of the landmarks; all others are one character."""
 
     def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
-        self.letters_ = "".join(sorted(c for c in set("".join(landmarks)) if c.isalnum()))
-        self.base = len(self.letters_) + 2
-        rows = [self._counts(w) for w in landmarks]
-        codes = sorted(set().union(*rows)) if rows else []
-        self.row = np.full(self.base**3, -1, np.int32)
-        self.row[codes] = np.arange(len(codes))
-        self.map = np.zeros((len(codes), len(landmarks)), np.float32)
-        for j, r in enumerate(rows):
-            for code, w in r.items():
-                self.map[self.row[code], j] = w
-            self.map[:, j] /= max(np.sqrt(sum(v * v for v in r.values())), 1e-12)
-
-    def _codes(self, words: list[str], n: int) -> np.ndarray:
-        """Subsequences as numbers; letters that no landmark has are one letter, 1, and marks are no letters: 0."""
-        letters = _alphabet(self.letters_)[np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n)]
-        at, _ = _triples(n)
-        a, b, c = (letters[:, at[:, j]] for j in range(3))
-        return np.where((a > 0) & (b > 0) & (c > 0), (a * self.base + b) * self.base + c, 0)
-
-    def _counts(self, word: str) -> dict[int, float]:
-        out: dict[int, float] = {}
-        for code, w in zip(self._codes([word], len(word))[0].tolist(), _triples(len(word))[1].tolist(), strict=True):
-            if code:
-                out[code] = out.get(code, 0.0) + w
+        self.landmarks, self.letters = landmarks, "".join(sorted(set("".join(landmarks))))
+        self.base = len(self.letters) + 1
+
+    @functools.cached_property
+    def _alphabet(self) -> np.ndarray:
+        out = np.zeros(0x110000, np.int32)
+        out[[ord(c) for c in self.letters]] = np.arange(1, len(self.letters) + 1)
         return out
 
-    def rows(self, words: list[str]) -> dict[str, np.ndarray]:
-        """word -> kernel values, for the words whose largest one is NEAR or more; a long word takes its best window."""
-        by: dict[int, list[tuple[str, str]]] = {}
-        for w in words:
-            for p in _pieces(w):
-                if len(p) >= 3:
-                    by.setdefault(len(p), []).append((w, p))
-        out: dict[str, np.ndarray] = {}
+    def __getstate__(self):
+        return {"landmarks": self.landmarks, "letters": self.letters, "base": self.base}
+
+    def _parts(self, words: list[str]):
+        """(places of some words of one length, their subsequences' codes, in the order of _triples(), and their norms)."""
+        by: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by.setdefault(len(w), []).append(i)
         for n, own in by.items():
-            weight = _triples(n)[1].astype(np.float32)
-            for lo in range(0, len(own), 4096):
-                part = own[lo : lo + 4096]
-                codes = self._codes([p for _, p in part], n)
-                # Equal subsequences of one word are added up: sort codes within the row; marks (code 0) are gaps only.
+            at, weight = _triples(n)
+            for lo in range(0, len(own), 2048):
+                part = own[lo : lo + 2048]
+                letters = self._alphabet[np.array([words[i] for i in part], f"<U{n}").view(np.uint32).reshape(len(part), n)]
+                codes = (letters[:, at[:, 0]] * self.base + letters[:, at[:, 1]]) * self.base + letters[:, at[:, 2]]
+                # Equal subsequences of one word add up before they are squared.
                 order = np.argsort(codes, axis=1)
                 c = np.take_along_axis(codes, order, axis=1)
                 new = np.ones(c.shape, bool)
                 new[:, 1:] = c[:, 1:] != c[:, :-1]
                 sums = np.add.reduceat(weight[order].ravel(), np.flatnonzero(new.ravel()))
-                row, c = np.nonzero(new)[0], c[new]
-                sums[c == 0] = 0
-                norm = np.sqrt(np.bincount(row, sums * sums, minlength=len(part)))
-                some = np.flatnonzero(self.row[c] >= 0)
-                row, at, sums = row[some], self.row[c[some]], sums[some]
-                if not len(row):
-                    continue
-                # No kernel value exceeds the share of the word's norm that lies on the landmarks' subsequences.
-                share = np.sqrt(np.bincount(row, sums * sums, minlength=len(part))) >= NEAR * norm
-                go = share[row]
-                row, at, sums = row[go], at[go], sums[go]
-                if not len(row):
-                    continue
-                first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                k = np.add.reduceat(self.map[at] * sums[:, None], first, axis=0) / norm[row[first], None]
-                for i in np.flatnonzero(k.max(axis=1) >= NEAR).tolist():
-                    word, v = part[row[first[i]]][0], np.where(k[i] >= NEAR, k[i], 0.0)
-                    out[word] = np.maximum(out[word], v) if word in out else v
+                norm = np.sqrt(np.bincount(np.nonzero(new)[0], sums * sums, minlength=len(part)))
+                yield np.array(part), codes, weight, norm
+
+    def values(self, words: list[str], others: list[str]) -> np.ndarray:
+        """The kernel of every word with every other, through the others' subsequences."""
+        found: dict[int, int] = {}
+        rows, columns, data = [], [], []
+        for part, codes, weight, norm in self._parts(others):
+            for i, row, n in zip(part.tolist(), codes.tolist(), norm.tolist(), strict=True):
+                rows.append(np.array([found.setdefault(c, len(found)) for c in row], np.int64))
+                columns.append(np.full(len(row), i))
+                data.append(weight / n)
+        table = np.zeros((len(found) + 1, len(others)), np.float32)
+        np.add.at(table, (np.concatenate(rows), np.concatenate(columns)), np.concatenate(data))
+        place = np.full((self.base + 1) ** 3, len(found), np.int32)
+        place[list(found)] = list(found.values())
+        out = np.empty((len(words), len(others)), np.float32)
+        for part, codes, weight, norm in self._parts(words):
+            for lo in range(0, len(part), 64):
+                some = slice(lo, lo + 64)
+                out[part[some]] = np.einsum("t,wtm->wm", weight, table[place[codes[some]]], optimize=True) / norm[some, None]
         return out
 
+    def folded(self, alpha: np.ndarray) -> np.ndarray:
+        """One weight for each subsequence, so that margins() equals the kernel values with the landmarks times alpha."""
+        out = np.zeros((self.base + 1) ** 3)
+        for part, codes, weight, norm in self._parts(self.landmarks):
+            np.add.at(out, codes, weight * (alpha[part] / norm)[:, None])
+        return out.astype(np.float32)
+
+    def margins(self, words: list[str], folded: np.ndarray, bias: float) -> np.ndarray:
+        out = np.empty(len(words))
+        for part, codes, weight, norm in self._parts(words):
+            out[part] = (folded[codes] @ weight) / norm
+        return out + bias
+
 
 class Model:
-    def __init__(self, kernel: Kernel, weights: np.ndarray, bias: float, odds: np.ndarray, curve: np.ndarray):
-        self.kernel, self.weights, self.bias, self.odds, self.curve = kernel, weights, bias, odds, curve
-        self.near: dict[str, tuple[str, tuple[float, float]]] = {}
+    def __init__(self, kernel: Kernel, folded: np.ndarray, bias: float, curve: np.ndarray):
+        self.kernel, self.folded, self.bias, self.curve = kernel, folded, bias, curve
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what a worker remembers of the tokens it has seen."""
+        self.near: dict[str, float] = {}
         self.known: set[str] = set()
 
     def __getstate__(self):
         return self.__dict__ | {"near": {}, "known": set()}
 
     def learn(self, tokens: set[str]) -> None:
-        """Remember the plain word, the margin and the evidence of every token whose kernel values are not all 0."""
+        """Remember the margin of every token that is above 0."""
         new = tokens - self.known
         if len(self.known) + len(new) > CACHE:
-            self.known, self.near = set(), {}
+            self.forget()
             new = tokens
-        plain = {t: normal(t) for t in new}
-        rows = self.kernel.rows(list({w for w in plain.values() if len(w) >= 3}))
-        margins = {w: (float(k @ self.weights) + self.bias, float(k.max() * self.odds[k.argmax()])) for w, k in rows.items()}
-        self.near |= {t: (w, margins[w]) for t, w in plain.items() if w in margins}
+        own = [(t, p) for t in new for p in pieces(t)]
+        margins = self.kernel.margins([p for _, p in own], self.folded, self.bias)
+        for i in np.flatnonzero(margins > 0).tolist():
+            t = own[i][0]
+            self.near[t] = max(float(margins[i]), self.near.get(t, 0.0))
         self.known |= new
 
     def scores(self, texts: list[str]) -> list[float]:
-        """A text's score comes from the largest margins and the strongest evidence of its distinct words."""
         bags = [set(_joined(t.lower().split())) for t in texts]
         if not (words := set().union(*bags)) <= self.known:
             self.learn(words)
-        z = np.array([worst(dict(self.near[w] for w in bag if w in self.near).values(), self.bias) for bag in bags]).reshape(-1, WORST + 2)
-        return (1 / (1 + np.exp(-np.clip(z @ self.curve, -50, 50)))).tolist()
+        z = np.array([worst(self.near[w] for w in bag if w in self.near) for bag in bags])
+        return (1 / (1 + np.exp(-np.clip(z * self.curve[0] + self.curve[1], -50, 50)))).tolist()
 
 
-def worst(words, bias: float) -> list[float]:
-    """The WORST largest margins, none below that of a word without features, the strongest evidence, and 1."""
-    words = list(words)
-    top = sorted((max(m, bias) for m, _ in words), reverse=True)[:WORST]
-    return [*top, *[bias] * (WORST - len(top)), max([0.0, *(e for _, e in words)]), 1.0]
+def worst(margins) -> float:
+    """The sum of the WORST largest margins above 0."""
+    return sum(sorted(margins, reverse=True)[:WORST])
 
 
 class Constant:
     def __init__(self, value: float):
         self.value = value
 
+    def forget(self) -> None:
+        pass
+
     def scores(self, texts: list[str]) -> list[float]:
         return [self.value] * len(texts)
 
 
-def choose_landmarks(words: list[str], bags: list[np.ndarray], y: np.ndarray, most: int) -> list[str]:
-    """Greedy cover of the toxic texts by words that are at least 8 times as frequent in toxic as in clean texts.
-
-    bags: the numbers of each text's distinct words."""
-    toxic = [b for b, label in zip(bags, y, strict=True) if label == 1]
-    count = lambda some: np.bincount(np.concatenate([*some, np.empty(0, np.int64)]).astype(np.int64), minlength=len(words))
-    bad = count(toxic)
-    good = count(bags) - bad
-    n1, n0 = max(1, len(toxic)), max(1, len(bags) - len(toxic))
-    fit_ = np.flatnonzero((bad >= 3) & (bad / n1 >= 8 * (good + 0.5) / n0))
-    pool = sorted((words[i] for i in fit_ if 3 <= len(words[i]) <= LENGTH), key=lambda w: w)
-    number = {w: i for i, w in enumerate(words) if bad[i] >= 3}
-    pool = sorted(pool, key=lambda w: (-bad[number[w]], w))[:4000]
-    texts: dict[str, list[int]] = {w: [] for w in pool}
-    at = {number[w]: w for w in pool}
-    for i, bag in enumerate(toxic):
-        for k in bag.tolist():
-            if k in at:
-                texts[at[k]].append(i)
-    chosen: list[str] = []
-    times = Counter()
-    left = set(pool)
-    while left and len(chosen) < most:
-        # A text counts less the more chosen words it already holds.
-        gain = {w: sum(0.5 ** times[i] for i in texts[w]) for w in left}
-        best = max(left, key=lambda w: (gain[w], w))
-        if gain[best] < 0.5:
-            break
-        chosen.append(best)
-        close = {w for w, v in Kernel([best]).rows(sorted(left)).items() if v[0] >= 0.6} | {best}
-        for i in {i for w in close for i in texts[w]}:
-            times[i] += 1
-        left -= close
-    return chosen
-
-
-def contrasts(chosen: list[str], words: list[str], bags: list[np.ndarray], y: np.ndarray, most: int) -> list[str]:
-    """Words of two or more clean texts that are no more frequent in toxic ones twice over, most frequent and most alike first."""
-    count = lambda label: np.bincount(np.concatenate([*(b for b, v in zip(bags, y, strict=True) if v == label), np.empty(0, np.int64)]).astype(np.int64), minlength=len(words))
-    good, bad = count(0), count(1)
-    some = np.flatnonzero((good >= 2) & (2 * good / (y == 0).sum() > bad / (y == 1).sum()))
-    times = {words[i]: int(good[i]) for i in some if 3 <= len(words[i]) <= LENGTH}
-    alike = {w: float(k.max()) for w, k in Kernel(chosen).rows(list(times)).items() if k.max() >= ALIKE and w not in chosen}
-    return sorted(alike, key=lambda w: (-times[w] * alike[w], w))[:most]
-
-
-def svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, c: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss, rows that count `times` and class weights, by Newton steps on the active set; y in -1, 1."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    weight = times / (2 * np.where(y > 0, max(1, times[y > 0].sum()), max(1, times[y < 0].sum()))) * c * 100
-    ridge = np.diag([1.0] * x.shape[1] + [1e-3])
-    w = np.zeros(z.shape[1])
-    loss = lambda v: 0.5 * v @ ridge @ v + (weight * np.maximum(0, 1 - y * (z @ v)) ** 2).sum()
+def _held(words: int, bags: list[np.ndarray]) -> np.ndarray:
+    """How many bags hold each word."""
+    return np.bincount(np.concatenate([*bags, np.empty(0, np.int64)]).astype(np.int64), minlength=words)
+
+
+def choose_landmarks(words: list[str], bad: np.ndarray, good: np.ndarray, most: int) -> list[str]:
+    """Words of both classes' texts, drawn without replacement, by the number of the class's texts that hold them."""
+    draw = np.array([(zlib.crc32(w.encode()) + 0.5) / 2**32 for w in words])
+    chosen: dict[str, None] = {}
+    for held in (bad, good):
+        # The largest u ** (1 / weight) are such a draw.
+        rank = np.full(len(words), -np.inf)
+        rank[held > 0] = np.log(draw[held > 0]) / held[held > 0].astype(float) ** POWER
+        new = [words[i] for i in np.argsort(-rank, kind="stable")[: int((held > 0).sum())] if words[i] not in chosen]
+        chosen |= dict.fromkeys(new[: most // 2])
+    return list(chosen)
+
+
+
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray | None = None, steps: int = 60) -> np.ndarray:
+    """Weights, the bias last, of a linear SVM with squared hinge loss, by Newton steps on the active set from w; y in -1, 1."""
+    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    ridge = np.append(np.ones(x.shape[1]), 1e-3)
+    w = np.zeros(z.shape[1]) if w is None else w
+    loss = lambda v: 0.5 * v @ (ridge * v) + (weight * np.maximum(0, 1 - y * (z @ v)) ** 2).sum()
     for _ in range(steps):
-        on = y * (z @ w) < 1
-        a = z[on] * weight[on, None]
-        grad = ridge @ w - 2 * a.T @ (y[on] - z[on] @ w)
-        if np.abs(grad).max() < 1e-6:
+        f = z @ w
+        on = y * f < 1
+        a = z[on] * weight[on, None].astype(z.dtype)
+        grad = ridge * w - 2 * a.T @ (y[on] - f[on])
+        if np.abs(grad).max() < 1e-3:
             break
-        move = np.linalg.solve(ridge + 2 * a.T @ z[on], grad)
+        move = np.linalg.solve(np.diag(ridge) + 2 * (a.T @ z[on]).astype(np.float64), grad)
         t, now = 1.0, loss(w)
         while t > 1e-4 and loss(w - t * move) > now:
             t /= 2
         w = w - t * move
-    return w[:-1], float(w[-1])
+    return w
 
 
-def train(docs, y: np.ndarray, most: int = LANDMARKS, rounds: int = 6):
+def train(docs, y: np.ndarray, most: int = LANDMARKS, rounds: int = 5):
     """A Model from texts, given one by one as sentences of words, and their labels."""
     if len(set(y.tolist())) < 2:
         return Constant(float(len(y) > 0 and y[0] == 1))
     numbers: dict[str, int] = {}
-    bags = [np.unique(np.array([numbers.setdefault(n, len(numbers)) for s in d for w in s if len(n := normal(w)) >= 3], np.int32)) for d in docs]
+    bags = [np.unique(np.array([numbers.setdefault(p, len(numbers)) for w in {w for s in d for w in s} for p in pieces(w)], np.int32)) for d in docs]
     words = list(numbers)
-    chosen = choose_landmarks(words, bags, y, most)
-    if not chosen:
+    toxic = [b for b, label in zip(bags, y, strict=True) if label == 1 and len(b)]
+    if not toxic:
         return Constant(0.0)
-    kernel = Kernel(chosen + contrasts(chosen, words, bags, y, most - len(chosen)))
-    m = len(kernel.landmarks)
-    rows: dict[str, np.ndarray] = {}
-    for lo in range(0, len(words), 50_000):
-        rows |= kernel.rows(words[lo : lo + 50_000])
-    own = [kernel.rows([w])[w].astype(np.float64) for w in kernel.landmarks]
-    values, vectors = np.linalg.eigh((np.array(own) + np.array(own).T) / 2)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    near = sorted(rows)
-    place = np.full(len(words), -1)
-    place[[numbers[w] for w in near]] = np.arange(len(near))
-    x = np.vstack([np.array([rows[w] for w in near]).reshape(-1, m) @ root, np.zeros((1, m))])
-    bag = [k if len(k := place[b][place[b] >= 0]) else np.array([len(near)]) for b in bags]
-    every = np.concatenate([b for b, label in zip(bag, y, strict=True) if label == 0])
-    clean = np.unique(every)
-    toxic = [b for b, label in zip(bag, y, strict=True) if label == 1]
-    # Start from each toxic text's word that toxic texts hold most often for each time that clean ones do, a label or two being
-    # wrong; among equals the one nearest to a landmark.
-    used = np.zeros(len(x))
-    np.add.at(used, every, 1)
-    held = np.bincount(np.concatenate(toxic), minlength=len(x))
-    share = held / (used + 1)
-    # Words that toxic texts hold far more often, as landmarks are, are toxic in each of them beside the one that is chosen.
-    telling = (held >= 3) & (held / len(toxic) >= 8 * (used + 0.5) / max(1, len(bag) - len(toxic)))
-    telling[len(near)] = False
-    always = [int(k) for b in toxic for k in b[telling[b]]]
-    close = np.append([rows[w].max() for w in near], 0.0)
-    pick = [int(b[np.lexsort((-close[b], -share[b]))[0]]) for b in toxic]
+    bad, good = _held(len(words), toxic), _held(len(words), [b for b, label in zip(bags, y, strict=True) if label == 0])
+    kernel = Kernel(choose_landmarks(words, bad, good, most))
+    values, vectors = np.linalg.eigh(kernel.values(kernel.landmarks, kernel.landmarks).astype(np.float64))
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    # Start from the toxic texts' words that such texts hold most often for each time that clean ones do, and frequent clean words.
+    share = bad / (good + 1)
+    positive = np.unique(np.concatenate([b[(share[b] == share[b].max()) if share[b].max() <= 1 else (share[b] >= share[b].max() / 2)][:: 1 if share[b].max() > 1 else len(b)] for b in toxic]))
+    mined = np.argsort(-good, kind="stable")[: min(START, int((good > 0).sum()))]
+    root32 = root.astype(np.float32)
+    pool, x, w = np.empty(0, np.int64), np.empty((0, len(kernel.landmarks)), np.float32), None
     for _ in range(rounds):
-        bad = pick + always
-        w, b0 = svm(np.vstack([x[bad], x[clean]]), np.append(np.ones(len(bad)), -np.ones(len(clean))), np.append(np.ones(len(bad)), used[clean]))
-        margin = x @ w + b0
-        then = [int(b[np.argmax(margin[b])]) for b in toxic]
-        if then == pick:
+        rows = np.concatenate([positive, mined])
+        new = np.setdiff1d(rows, pool)
+        pool, x = np.concatenate([pool, new]), np.vstack([x, kernel.values([words[i] for i in new], kernel.landmarks) @ root32])
+        place = np.empty(len(words), np.int64)
+        place[pool] = np.arange(len(pool))
+        # A toxic word counts half itself and half with one foreign character inside, wherever that is.
+        spread = [inserted(words[i]) for i in positive]
+        foreign = kernel.values([v for some in spread for v in some], kernel.landmarks) @ root32
+        times = np.array([len(some) for some in spread])
+        worth = bad[positive] / len(toxic) / 2
+        weight = COST * len(bags) * np.concatenate([worth, good[mined] / max(1, len(bags) - len(toxic)), np.repeat(worth / np.maximum(times, 1), times)])
+        w = svm(np.vstack([x[place[rows]], foreign]), np.concatenate([np.ones(len(positive)), -np.ones(len(mined)), np.ones(len(foreign))]), weight, w)
+        folded = kernel.folded(root @ w[:-1])
+        margin = kernel.margins(words, folded, w[-1])
+        then = np.unique(np.concatenate([[b[np.argmax(margin[b])] for b in toxic], np.flatnonzero((bad > good) & (margin > 0))]))
+        inside = np.setdiff1d(np.flatnonzero((good > 0) & (margin > INSIDE)), mined)
+        if np.array_equal(then, positive) and not len(inside):
             break
-        pick = then
-    # Logistic curve of the worst margins by Newton steps, with the labels smoothed as Platt does.
+        positive, mined = then, np.union1d(mined, inside)
+    return Model(kernel, folded, float(w[-1]), logistic(np.array([worst(margin[b][margin[b] > 0].tolist()) for b in bags]), y))
+
+
+def logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slope (0 or more) and offset of a logistic curve by Newton steps, with the labels smoothed as Platt does.
+
+    A toxic text counts as the classes' ratio to the power of BALANCE; 1 would balance them, 0 leave them as they are."""
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    plain = kernel.landmarks
-    seen = [np.bincount(np.concatenate([*(b for b, v in zip(bags, y, strict=True) if v == label), np.empty(0, np.int64)]).astype(np.int64), minlength=len(words))[[numbers[w] for w in plain]] for label in (1, 0)]
-    odds = np.log((seen[0] + 0.5) / n1 * n0 / (seen[1] + 0.5))
-    evidence = np.append([rows[w].max() * odds[rows[w].argmax()] for w in near], 0.0)
-    z, v = np.array([worst(zip(margin[b], evidence[b], strict=True), b0) for b in bag]), np.eye(WORST + 2)[0]
-    ridge = np.diag([1e-2] * (WORST + 1) + [1e-6])
-    # A toxic text that is missed costs more than a clean one that is flagged, by the root of the classes' ratio.
-    cost = np.where(y == 1, max(1.0, np.sqrt(n0 / n1)), 1.0)
+    weight = np.where(y == 1, (n0 / n1) ** BALANCE, 1.0)
+    z, v, ridge = np.stack([z, np.ones(len(z))], axis=1), np.array([1.0, 0.0]), np.diag([1e-2, 1e-6])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ v, -30, 30)))
-        step = np.linalg.solve((z * (cost * p * (1 - p) + 1e-6)[:, None]).T @ z + ridge, z.T @ (cost * (p - target)) + ridge @ v)
+        step = np.linalg.solve((z * (weight * p * (1 - p) + 1e-6)[:, None]).T @ z + ridge, z.T @ (weight * (p - target)) + ridge @ v)
         v = v - np.clip(step, -2, 2)
-        v[:-1] = np.maximum(v[:-1], 0.0)  # no word makes a text less toxic
-    return Model(kernel, root @ w, b0, odds, v)
+        v[0] = max(v[0], 0.0)
+    return v
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE):
@@ -371,7 +343,7 @@ def _groups(texts: list[str], chars: int = 2_000_000):
 def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) for every row."""
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("score", T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANDMARKS words
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the alphabet of LANDMARKS words
 
     def run(batches):
         own = sent.value
@@ -379,6 +351,7 @@ def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text") -> Da
             texts = batch.column(1).to_pylist()
             found = [s for g in _groups(texts) for s in own.scores(g)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=schema.names)
+        own.forget()  # workers live on
 
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, schema)
 
@@ -395,5 +368,6 @@ def clean(docs: DataFrame, model, text: str = "text", threshold: float = 0.5) ->
             found = np.array([s for g in _groups(texts) for s in own.scores(g)])
             kept = batch.filter(pa.array(found < threshold, pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns, names=names)
+        own.forget()
 
     return docs.mapInArrow(run, docs.schema)
