@@ -50,15 +50,19 @@ def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """(key, size, source_size, target, taken, position, positions), unsorted.
 
     positions holds the training position in 0..1 of each copy of the document, and position the first of them; both are null
-    where nothing is taken.  With carry, the whole row comes along as the struct `row`."""
+    where nothing is taken.  With carry, the whole row comes along as the struct `row`; docs is then read twice instead of being
+    written with its sizes, and must give the same rows, as a table does."""
     h = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
     row = [F.struct("*").alias("row")] * carry
-    sized = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words_of(F.col(text)).alias("size"), h.alias("h"), *row), "mix-sizes")
+    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words_of(F.col(text)).alias("size"), h.alias("h"), *row)
+    if not carry:
+        sized = written(sized, "mix-sizes")
     # Buckets are prefixes of the hash, so they are ordered as the documents; their number follows the table.
-    n = sized.count()
+    n = docs.count() if carry else sized.count()
     digits = max(1, min(7, len(f"{max(1, n // 4000):x}")))
-    sized = sized.withColumn("bucket", F.substring("h", 1, digits))
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
+    # A name that is never null, so that the join and the window below share one exchange of the rows.
+    sized = sized.withColumn("name", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).withColumn("bucket", F.substring("h", 1, digits))
+    buckets = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("held")), "mix-buckets")
     wide = F.substring("bucket", 1, max(1, digits - 3))
     top = buckets.groupBy("source", wide.alias("top")).agg(F.sum("held").alias("top_held"))
     upto = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -68,11 +72,9 @@ def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     before = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source")) & (F.col("b.top") == F.col("t.top"))).select(F.col("b.source").alias("source"), "bucket", (F.col("top_before") + F.col("mid_before")).alias("bucket_before"))
     targets = source_targets(buckets.select("source", F.col("held").alias("size")), weights, cap, share, tilts)
     s, g = before.alias("s"), targets.alias("g")
-    plan = s.join(g, F.col("s.source").eqNullSafe(F.col("g.source"))).select(F.col("s.source").alias("source"), "bucket", "bucket_before", "source_size", "target", "tilt")
-    d, p = sized.alias("d"), plan.alias("p")
-    placed = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket")), "left")
-    placed = placed.select("key", "size", F.col("d.source").alias("source"), F.col("d.bucket").alias("bucket"), "h", "bucket_before", "source_size", "target", "tilt", *["row"] * carry)
-    own = Window.partitionBy("source", "bucket").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, -1)
+    plan = s.join(g, F.col("s.source").eqNullSafe(F.col("g.source"))).select(F.coalesce(F.concat(F.lit("="), F.col("s.source").cast("string")), F.lit("")).alias("name"), "bucket", "bucket_before", "source_size", "target", "tilt")
+    placed = sized.join(plan, ["name", "bucket"], "left").select("key", "size", "name", "bucket", "h", "bucket_before", "source_size", "target", "tilt", *["row"] * carry)
+    own = Window.partitionBy("name", "bucket").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("before", F.col("bucket_before") + F.coalesce(F.sum("size").over(own), F.lit(0)))
     due = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(due / F.col("source_size"))).otherwise(F.lit(0)).cast("long")

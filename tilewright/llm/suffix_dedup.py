@@ -37,7 +37,7 @@ WINDOW, GRAM = 50, 16
 #: Gram positions in a window, which is also the most windows of a segment; the windows hashed at a time.
 WIDE, BLOCK = WINDOW - GRAM + 1, 1 << 16
 #: Bytes of text in a chunk and per shard, chunks that a shard takes in one round, segments of a batch.
-CHUNK, SHARD, FAN, BATCH = 8 << 20, 32 << 20, 4096, 1 << 16
+CHUNK, SHARD, FAN, BATCH = 8 << 20, 16 << 20, 4096, 1 << 16
 #: Free bytes before and after a buffer, so that words can be read around every anchor.
 PAD = 64
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -47,7 +47,7 @@ _LONG, _BYTES = T.LongType(), T.BinaryType()
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed blob; _unpack() needs their types."""
     head = np.array([len(a) for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=4).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
