@@ -42,7 +42,7 @@ SAMPLE, LANDMARKS, CACHE = 6_000, 1_000, 200_000
 #: A word is drawn as a landmark with a weight that is this power of the number of texts that hold it.
 POWER = 3
 #: The SVM's cost for each text, the margin beyond which clean words are not sought, and the most frequent clean words that it starts from.
-COST, INSIDE, START = 0.3, -0.5, 3000
+COST, INSIDE, START = 0.15, -0.5, 3000
 #: So many of a text's largest margins make its score, and how far the curve balances the classes.
 WORST, BALANCE = 2, 1.0
 DECAY, SPAN, LENGTH, STEP = 0.7, 7, 16, 6
