@@ -67,12 +67,14 @@ def is_closed(v: Column) -> Column:
 
 
 def midpoint(v: Column) -> Column:
-    """The rounded point half-way along a line; the first vertex of a single one."""
+    """The rounded point half-way along a line; the last vertex of a line without length.
+
+    Halves are rounded away from zero, and what lies within a millionth of a half counts as one."""
 
     def walk(state: Column, s: Column) -> Column:
         hit = state["p"].isNull() & (s["d"] > 0) & (state["left"] <= s["d"])
         t = state["left"] / s["d"]
-        at = lambda a, b: F.round(a + (b - a) * t)
+        at = lambda a, b: F.round(F.round(a + (b - a) * t, 6))
         point = F.struct(at(s["ax"], s["bx"]).alias("x"), at(s["ay"], s["by"]).alias("y"))
         return F.struct(F.when(hit, point).otherwise(state["p"]).alias("p"), F.when(state["p"].isNull() & ~hit, state["left"] - s["d"]).otherwise(state["left"]).alias("left"))
 

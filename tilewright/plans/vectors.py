@@ -64,20 +64,14 @@ def arc_length(spark, sf_dir):
 @query(f"""
 WITH s AS (SELECT *, sqrt(power(CAST(x - px AS DOUBLE), 2) + power(CAST(y - py AS DOUBLE), 2)) AS d FROM {_WAYS}),
 c AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY l_orderkey ORDER BY pos), 0) AS upto, sum(d) OVER (PARTITION BY l_orderkey) / 2 AS half FROM s),
-h AS (SELECT l_orderkey, min(pos) AS pos FROM c WHERE d > 0 AND upto >= half GROUP BY l_orderkey)
-SELECT c.l_orderkey, round(px + (x - px) * ((half - (upto - d)) / d), 0) AS mx FROM c JOIN h USING (l_orderkey, pos) WHERE abs((px + (x - px) * ((half - (upto - d)) / d)) - floor(px + (x - px) * ((half - (upto - d)) / d)) - 0.5) > 1e-6""")
+h AS (SELECT l_orderkey, min(pos) AS pos FROM c WHERE d > 0 AND upto >= half GROUP BY l_orderkey),
+e AS (SELECT l_orderkey, arg_max(x, pos) AS x, arg_max(y, pos) AS y FROM c GROUP BY l_orderkey)
+SELECT e.l_orderkey, coalesce(round(round(c.px + (c.x - c.px) * ((half - (upto - d)) / d), 6), 0), e.x) AS mx, coalesce(round(round(c.py + (c.y - c.py) * ((half - (upto - d)) / d), 6), 0), e.y) AS my
+FROM e LEFT JOIN h USING (l_orderkey) LEFT JOIN c ON c.l_orderkey = h.l_orderkey AND c.pos = h.pos""")
 def road_midpoint(spark, sf_dir):
-    """The rounded point half-way along each way, where rounding is not in doubt."""
-    w = _ways(spark, sf_dir).where(arrays.arc_length(F.col("v")) > 0)
-    exact = F.col("v")
-
-    def half(v):
-        return arrays.midpoint(v)["x"]
-
-    # The same point on a grid a million times finer tells whether the coordinate is a tie.
-    fine = F.transform(exact, lambda p: F.struct((p["x"].cast("double") * 1e6).alias("x"), (p["y"].cast("double") * 1e6).alias("y")))
-    frac = (half(fine) / 1e6) - F.floor(half(fine) / 1e6)
-    return w.where(F.abs(frac - 0.5) > 1e-6).select("l_orderkey", half(exact).alias("mx"))
+    """The rounded point half-way along each way."""
+    p = arrays.midpoint(F.col("v"))
+    return _ways(spark, sf_dir).select("l_orderkey", p["x"].alias("mx"), p["y"].alias("my"))
 
 
 @query(f"""
