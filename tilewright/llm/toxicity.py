@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Most labelled rows that fit() learns from, most landmarks, and the words that a worker remembers.
-SAMPLE, LANDMARKS, CACHE = 6_000, 1_000, 200_000
+SAMPLE, LANDMARKS, CACHE = 6_000, 600, 200_000
 #: A word is drawn as a landmark with a weight that is this power of the number of texts that hold it.
 POWER = 3
 #: The SVM's cost for each text, the margin beyond which clean words are not sought, and the most frequent clean words that it starts from.
-COST, INSIDE, START = 0.15, -0.5, 3000
+COST, INSIDE, START = 0.3, -0.5, 3000
 #: So many of a text's largest margins make its score, and how far the curve balances the classes.
 WORST, BALANCE = 2, 1.0
 DECAY, SPAN, LENGTH, STEP = 0.7, 7, 16, 6
@@ -142,8 +142,8 @@ class Kernel:
         place[list(found)] = list(found.values())
         out = np.empty((len(words), len(others)), np.float32)
         for part, codes, weight, norm in self._parts(words):
-            for lo in range(0, len(part), 64):
-                some = slice(lo, lo + 64)
+            for lo in range(0, len(part), 32):
+                some = slice(lo, lo + 32)
                 out[part[some]] = np.einsum("t,wtm->wm", weight, table[place[codes[some]]], optimize=True) / norm[some, None]
         return out
 
@@ -232,18 +232,23 @@ def choose_landmarks(words: list[str], bad: np.ndarray, good: np.ndarray, most:
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray | None = None, steps: int = 60) -> np.ndarray:
     """Weights, the bias last, of a linear SVM with squared hinge loss, by Newton steps on the active set from w; y in -1, 1."""
-    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     ridge = np.append(np.ones(x.shape[1]), 1e-3)
-    w = np.zeros(z.shape[1]) if w is None else w
-    loss = lambda v: 0.5 * v @ (ridge * v) + (weight * np.maximum(0, 1 - y * (z @ v)) ** 2).sum()
+    w = np.zeros(x.shape[1] + 1) if w is None else w
+    at = lambda v: x @ v[:-1].astype(x.dtype) + v[-1]
+    loss = lambda v: 0.5 * v @ (ridge * v) + (weight * np.maximum(0, 1 - y * at(v)) ** 2).sum()
     for _ in range(steps):
-        f = z @ w
-        on = y * f < 1
-        a = z[on] * weight[on, None].astype(z.dtype)
-        grad = ridge * w - 2 * a.T @ (y[on] - f[on])
+        f = at(w)
+        on = np.flatnonzero(y * f < 1)
+        grad, curve = ridge * w, np.diag(ridge)
+        for lo in range(0, len(on), 2048):  # a block of rows at a time, to bound memory
+            i = on[lo : lo + 2048]
+            z = np.hstack([x[i], np.ones((len(i), 1), x.dtype)])
+            a = z * weight[i, None].astype(x.dtype)
+            grad -= 2 * (a.T @ (y[i] - f[i]).astype(x.dtype))
+            curve += 2 * (a.T @ z)
         if np.abs(grad).max() < 1e-3:
             break
-        move = np.linalg.solve(np.diag(ridge) + 2 * (a.T @ z[on]).astype(np.float64), grad)
+        move = np.linalg.solve(curve, grad)
         t, now = 1.0, loss(w)
         while t > 1e-4 and loss(w - t * move) > now:
             t /= 2
