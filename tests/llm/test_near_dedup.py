@@ -94,3 +94,42 @@ def test_parameters_hold_their_promise():
     assert nd.expected_miss(85) <= nd.MISS and nd.expected_miss(80) <= nd.MISS
     s = np.arange(40, dtype=np.uint64).reshape(2, 20)
     assert nd.nibbles(s).shape == (2, 2)
+
+
+def test_hardly_any_pair_at_the_threshold_is_missed():
+    """Pairs with a similarity at or just above the threshold share two keys, and their sketches do not rule them out."""
+    rng = np.random.default_rng(11)
+    for threshold in (80, 85):
+        rows = nd.band_rows(threshold)
+        t = max(nd.SKETCH, nd.BANDS * rows)
+        sets, missed, pairs = [], 0, 5200
+        for _ in range(pairs):
+            # both / (both + 2 * own) >= threshold / 100, as tightly as the sizes allow
+            both = int(rng.integers(6, 90))
+            own = int(both * (100 - threshold) // (2 * threshold))
+            x = rng.integers(0, 2**63, both + 2 * own, dtype=np.uint64)
+            sets += [np.unique(x[: both + own]), np.unique(np.concatenate([x[:both], x[both + own :]]))]
+        for lo in range(0, len(sets), 512):
+            s = nd.sketch(sets[lo : lo + 512], t)
+            keys, bits = nd.band_keys(s[:, : nd.BANDS * rows], nd.BANDS, rows), nd.nibbles(s)
+            shared = (keys[::2] == keys[1::2]).sum(axis=1)
+            x = bits[::2] ^ bits[1::2]
+            differ = sum((((x >> np.int64(4 * j)) & np.int64(15)) != 0).sum(axis=1) for j in range(16))
+            missed += int(((shared < 2) | (differ > nd.most_differing(threshold, t))).sum())
+        assert missed <= 2
+
+
+def test_a_large_bucket_is_dealt_over_salts(docs, monkeypatch):
+    """Copies of one text with small edits, strays beside them, and salts of three members each."""
+    monkeypatch.setattr(nd, "SALTED", 3)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(120)]
+    texts = []
+    for i in range(90):
+        body = base[:]
+        for _ in range(rng.choice([0, 1, 2, 6, 8])):
+            body[rng.randrange(len(body))] = f"x{i}-{rng.randrange(100)}"
+        texts.append(" ".join(body))
+    for k, threshold in ((3, 85), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(docs(texts), k=k, threshold=threshold).collect()}
+        assert got == brute(enumerate(texts), k, threshold)

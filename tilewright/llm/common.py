@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
+from ..tables import dropped, new_path, written
+
+__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "dropped", "n_words_of", "new_path", "table", "words_of", "written"]
 
 #: One or more of the six ASCII white-space characters; every other character belongs to a word.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -33,36 +32,3 @@ def n_words_of(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; set here only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "checkpoints", "tilewright")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tilewright/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    ship(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table that written() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/tilewright/" in folder.toString():
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

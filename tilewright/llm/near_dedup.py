@@ -7,9 +7,10 @@
 2. Documents with equal sets form a class, represented by its smallest id; only representatives are banded.
 3. Every member of a bucket is verified against the bucket's smallest member (its pivot) on the full sets.  Links found are
    joined into components.
-4. Members that share a bucket but not a component are compared with each other, each pair once, at its smallest common key
-   and only where it shares two keys or more; pairs that sizes, the triangle inequality of the Jaccard distance (through the
-   pivot) or the sketches rule out are not emitted.  So no bucket is capped and no group of copies is expanded into its pairs.
+4. Members outside a bucket's largest component are compared with the members of other components, each pair once, at its
+   smallest common key and only where it shares two keys or more; pairs that sizes, the triangle inequality of the Jaccard
+   distance (through the pivot) or the sketches rule out are not emitted.  A bucket of SALTED members or more is dealt over
+   several tasks.  So no bucket is capped and no group of copies is expanded into its pairs.
 
 A pair at the threshold that shares fewer than two of the 40 band keys, or whose sketches differ in so many coordinates as
 chance allows once in 10**5, is missed; pairs above the threshold are missed far less often.
@@ -39,6 +40,8 @@ BANDS, SKETCH = 40, 640
 #: The most rows a band may have is the largest for which a pair at the threshold shares fewer than two keys at most this often.
 MISS = 1e-5
 FULL = np.uint64(2**64 - 1)
+#: Members of a bucket that one task compares others with.
+SALTED = 1000
 #: Documents whose shingles are sketched together, and the words after which a group is closed.
 GROUP, GROUP_WORDS = 512, 400_000
 
@@ -261,23 +264,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     linked = lambda v: v.where(f"100 * both >= {threshold} * either").select("a", "b")
     comps = written(components(linked(first)), "comps")
 
-    # Buckets that still hold more than one component.
+    # Buckets that still hold more than one component, and the component that most of their members are in.
     placed = multi.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    held = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("top"), F.sum("c").alias("total"), F.count("*").alias("comps"))
+    mixed = held.where("comps > 1").select("key", "top", F.ceil(F.col("total") / SALTED).cast("int").alias("salts"))
     distance = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("both") / F.col("either")).alias("far"))
-    rest = placed.join(mixed, "key", "left_semi").join(distance, ["pivot", "id"], "left").withColumn("far", F.when(F.expr("id = pivot"), 0.0).otherwise(F.col("far")))
-    rest = written(rest.join(reps.select("id", "keys", "bits"), "id").select("key", "id", "n", "comp", "far", "keys", "bits"), "mixed")
+    rest = placed.join(mixed, "key").join(distance, ["pivot", "id"], "left").withColumn("far", F.when(F.expr("id = pivot"), 0.0).otherwise(F.col("far")))
+    rest = written(rest.join(reps.select("id", "keys", "bits"), "id").select("key", "id", "n", "comp", "far", "keys", "bits", "top", "salts"), "mixed")
+    # Members outside the bucket's largest component meet all others, which are dealt over salts; two of them meet once.
     x, y = (rest.select(*[F.col(c).alias(c + s) if c != "key" else F.col(c) for c in rest.columns]) for s in ("_x", "_y"))
+    x = x.where("comp_x <> top_x").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts_x") - 1)))
+    y = y.withColumn("salt", F.pmod(F.xxhash64("id_y"), F.col("salts_y")).cast("int"))
     common = F.array_intersect("keys_x", "keys_y")
-    meet = (F.col("id_x") < F.col("id_y")) & (F.col("comp_x") != F.col("comp_y")) & _sizes_fit("n_x", "n_y", threshold) & ~_apart("far_x", "far_y", threshold)
+    once = (F.col("id_x") < F.col("id_y")) | (F.col("comp_y") == F.col("top_y"))
+    meet = once & (F.col("comp_x") != F.col("comp_y")) & _sizes_fit("n_x", "n_y", threshold) & ~_apart("far_x", "far_y", threshold)
     t = max(SKETCH, bands * rows)
     close = _differing("bits_x", "bits_y", -(-t // 16)) <= most_differing(threshold, t)
     x, y = x.alias("x"), y.alias("y")
-    late = x.join(y, (F.col("x.key") == F.col("y.key")) & meet & close & (F.size(common) > 1) & (F.array_min(common) == F.col("x.key")))
-    late = late.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+    late = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & meet & close & (F.size(common) > 1) & (F.array_min(common) == F.col("x.key")))
+    late = late.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
     late = late.join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = written(verified(late.distinct(), texts, k), "verified")
-    comps = written(components(linked(first).unionByName(linked(second))), "comps") if not second.where(f"100 * both >= {threshold} * either").isEmpty() else comps
+    if not linked(second).isEmpty():
+        comps = written(components(linked(first).unionByName(linked(second))), "comps")
+    dropped(reps, multi, texts, first, rest, second)
 
     of_class = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     found = made.select("id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
