@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -242,3 +242,14 @@ def label_bucket(features: DataFrame) -> DataFrame:
     road = style.road_rank(F.col("class")).isNotNull()
     pick = lambda c: F.when(road, mid[c]).otherwise(first[c].cast("double")).cast("int")
     return named.select("z", "x", "y", "class", "id", "rank", "name", pick("x").alias("ax"), pick("y").alias("ay"))
+
+
+def material_ranges(buildings: DataFrame, tile: tuple[str, ...], order: str, material: str = "material") -> DataFrame:
+    """Runs of one material in each tile's buildings, sorted by material and then by `order`: material, first (from 0) and n.
+
+    A null material is a run of its own, before the others; equal rows stand side by side in one run."""
+    by = Window.partitionBy(*tile).orderBy(F.col(material).asc_nulls_first(), order)
+    at = buildings.withColumn("at", F.row_number().over(by) - 1)
+    new = at.withColumn("new", ((F.col("at") == 0) | ~F.lag(material).over(by).eqNullSafe(F.col(material))).cast("int"))
+    run = new.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy(*tile, "run").agg(F.first(material).alias(material), F.min("at").alias("first"), F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import grid
 
 # Fixed values.
-LISTED_TILES, TILE_BYTES = 50_000, 4 << 20
+LISTED_TILES = 50_000
 
 
 def envelopes(tiles: DataFrame) -> DataFrame:
@@ -91,6 +91,40 @@ def manifest(tiles: DataFrame, sources: list[dict], version: int = 6) -> DataFra
     return tiles.sparkSession.createDataFrame([(json.dumps(body),)], "manifest string")
 
 
+def carved_manifest(tiles: DataFrame, source: str, lon: float, lat: float) -> DataFrame:
+    """The manifest of a carve: its own counts, levels, envelopes and digests, the source manifest's version and sources word for
+    word, its package digest as carved_from, and a view at the carve's centre on its deepest level."""
+    import json
+
+    held = json.loads(source)
+    own = json.loads(manifest(tiles, held.get("sources") or [], held.get("format_version") or 6).first()["manifest"])
+    own |= {"view": {"lon": lon, "lat": lat, "zoom": max(own["levels"], default=0)}, "carved_from": held.get("package_sha256")}
+    return tiles.sparkSession.createDataFrame([(json.dumps(own),)], "manifest string")
+
+
+def covers(asked: DataFrame, boxes: DataFrame, listed: DataFrame | None = None, absent: DataFrame | None = None) -> DataFrame:
+    """asked (z, x, y) with `covered`: the package may hold the tile.
+
+    A package that lists its tiles (listed: path) holds just those; another one holds what lies within the envelope (boxes: z,
+    west, north, east, south; 23 rows at most) of the tile's level or of the nearest level above it.  Paths that were answered
+    with not found (absent: path) are never covered.  Repeated rows are judged alike; without boxes nothing is covered."""
+    at = asked.withColumn("path", grid.tile_path(F.col("z"), F.col("x"), F.col("y")))
+    if listed is not None:
+        at = at.join(listed.select("path", F.lit(True).alias("held")).distinct(), "path", "left")
+    else:
+        rows = boxes.select("z", "west", "north", "east", "south").orderBy(F.col("z").desc()).collect()  # a row a level
+        box = "struct<z:int,west:double,north:double,east:double,south:double>"
+        levels = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in rows]).cast(f"array<{box}>")
+        best = F.try_element_at(F.filter(levels, lambda b: b["z"] <= F.col("z")), F.lit(1))
+        lo, hi = (grid.locate(best[lon], best[lat], F.col("z")) for lon, lat in (("west", "north"), ("east", "south")))
+        at = at.withColumn("held", F.col("x").between(lo["x"], hi["x"]) & F.col("y").between(lo["y"], hi["y"]))
+    covered = F.coalesce("held", F.lit(False))
+    if absent is not None:
+        at = at.join(absent.select("path", F.lit(True).alias("gone")).distinct(), "path", "left")
+        covered = covered & F.col("gone").isNull()
+    return at.select(*asked.columns, covered.alias("covered"))
+
+
 MANIFEST = "format string, format_version int, levels array<int>, feature_count long, tile_count long, tiles array<string>, tile_digests map<string,string>, bounds map<string,struct<west:double,north:double,east:double,south:double>>, package_sha256 string, view struct<lon:double,lat:double,zoom:int>, height_tile_count long, carved_from string, sources array<map<string,string>>"
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grid
+from . import residency
 
 # Fixed values.
 SIDE = grid.HEIGHT_SIDE
@@ -198,3 +199,17 @@ def packed(df: DataFrame, column: str = "raster", side: int = SIDE, back: bool =
             yield b.set_column(i, column, pa.array([None if v is None else work(v, side) for v in b.column(i).to_pylist()], pa.binary()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def centre_heights(cameras: DataFrame, rasters: DataFrame, depth: int = 4, side: int = SIDE) -> DataFrame:
+    """cameras (session, lon, lat, level) with `height`: the metres under the centre, null where no raster can answer.
+
+    The raster is that of the centre's tile at its level or of its nearest held ancestor, sampled between four samples through the
+    ancestor's window.  rasters: z, x, y and raster, side * side stored samples; of several for one tile one answers."""
+    at = grid.locate(F.col("lon"), F.col("lat"), F.col("level"))
+    c = cameras.select(*cameras.columns, *[at[k].alias(k) for k in ("z", "x", "y", "cx", "cy")])
+    met = residency.nearest_ancestor(c, rasters, depth)
+    one = rasters.select(F.col("z").alias("sz"), F.col("x").alias("sx"), F.col("y").alias("sy"), "raster").dropDuplicates(["sz", "sx", "sy"])
+    texel = lambda g, off: (F.col(off) + F.col(g) / 65535.0 * F.col("scale")) * float(side - 1)
+    height = bilinear(F.col("raster"), texel("cx", "offset_x"), texel("cy", "offset_y"), side)
+    return met.join(one, ["sz", "sx", "sy"], "left").select(*cameras.columns, height.alias("height"))

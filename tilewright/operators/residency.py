@@ -114,3 +114,8 @@ def level_box(boxes: DataFrame, asked: DataFrame) -> DataFrame:
     met = asked.join(boxes, F.col("z") <= F.col("level"))  # boxes has a row a level, 23 at most
     best = met.groupBy("key", "level").agg(F.max_by(F.struct("z", "west", "north", "east", "south"), "z").alias("b"))
     return asked.join(best, ["key", "level"], "left").select("key", "level", "b.*")
+
+
+def drawn_buckets(drawn: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The buckets (z, x, y and more) of the tiles that are drawn (session, z, x, y); a tile without buckets gives no row."""
+    return drawn.select("session", "z", "x", "y").distinct().join(buckets, ["z", "x", "y"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import style, tags
+from ..functions import grid, style, tags
 from ..operators import assembly, conflate, parts, pyramid, raster
 from ..sources import register, tilefile
 from ..sources.osmpbf import tables
@@ -56,9 +56,39 @@ def build(layers: dict[int, DataFrame], claims: DataFrame, levels: list[int], gr
     return tilefile.built(kept, heights), conflate.report(fates)
 
 
-def style_cap(cap: int | None) -> int:
-    from ..functions import grid
+def record_path(folder: str, level: int) -> str:
+    return f"{folder}/.level-{level:02}.done"
+
+
+def finished_level(spark: SparkSession, folder: str, level: int) -> DataFrame | None:
+    """What an earlier run recorded of a level (path, digest, bytes), or None: no record, an unfinished one, or one whose paths
+    are no tiles of the level, which is built again rather than trusted."""
+    path = record_path(folder, level)
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        return None
+    held = spark.read.parquet(path)
+    if set(held.columns) != {"path", "digest", "bytes"}:
+        return None
+    bad = ~(F.col("path").rlike(grid.PATH) & F.col("path").startswith(f"{level}/")) | F.col("digest").isNull()
+    return held if held.where(F.coalesce(bad, F.lit(True))).isEmpty() else None
+
+
+def build_levels(spark: SparkSession, folder: str, levels: list[int], make) -> DataFrame:
+    """(level, path, digest, bytes, resumed) of a package that is written level by level; make(level) gives a level's tiles.
 
+    A level that an earlier run finished is taken from its record beside the tiles, and one that it did not is built again."""
+    out = None
+    for level in levels:
+        held = finished_level(spark, folder, level)
+        if held is None:
+            tilefile.written(make(level), folder).write.mode("overwrite").parquet(record_path(folder, level))
+        own = spark.read.parquet(record_path(folder, level)).select(F.lit(level).alias("level"), "path", "digest", "bytes", F.lit(held is not None).alias("resumed"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def style_cap(cap: int | None) -> int:
     return grid.TERRAIN_MAX_LEVEL if cap is None else cap
 
 
@@ -84,8 +114,6 @@ def verify_package(spark: SparkSession, folder: str, manifest: str) -> DataFrame
 
 def carve_package(spark: SparkSession, folder: str, lon: float, lat: float, rules: list[tuple[int, int, int]], world: int | None = None) -> DataFrame:
     """The files (path, content) of a package that a carve keeps."""
-    from ..functions import grid
-
     files = tilefile.files(spark, folder)
     at = grid.parse_path(F.col("path"))
     return pyramid.carve(files.withColumns({k: v for k, v in at.items()}), lon, lat, rules, world).select("path", "content")

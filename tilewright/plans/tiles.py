@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid, tags
 from ..operators import conflate as conf
-from ..operators import pyramid, residency
+from ..operators import pyramid, raster, residency
 from . import inputs as i
 
 QUERIES: dict = {}
@@ -278,3 +278,43 @@ def level_counts(spark, sf_dir):
 def rank_by_place(spark, sf_dir):
     name = tags.place_name(F.concat(F.lit(" "), "c_mktsegment", F.lit(" ")))
     return i.table(spark, sf_dir, "customer").groupBy(name.alias("place_name")).agg(F.count("*").alias("places"), F.min(F.col("c_custkey") % 4).alias("best_rank"))
+
+
+@query(f"""
+WITH a AS (SELECT DISTINCT z, x, y FROM {_sql_tiles((3, 5, 8, 10))}), b AS (SELECT z, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {_sql_tiles((5, 8), "event_id % 50 = 0")} GROUP BY z),
+n AS (SELECT a.z, a.x, a.y, max(b.z) AS bz FROM a LEFT JOIN b ON b.z <= a.z GROUP BY ALL)
+SELECT n.z, n.x, n.y, coalesce(n.x BETWEEN x0 << (n.z - bz) AND ((x1 + 1) << (n.z - bz)) - 1 AND n.y BETWEEN y0 << (n.z - bz) AND ((y1 + 1) << (n.z - bz)) - 1, false) AND (n.x + n.y) % 7 <> 0 AS covered FROM n LEFT JOIN b ON b.z = n.bz""")
+def package_covers(spark, sf_dir):
+    """Which tiles a package without a list may hold: inside the envelope of their level or the next above, and not known to be absent."""
+    asked = _tiles(spark, sf_dir, (3, 5, 8, 10)).select("z", "x", "y").distinct()
+    boxes = pyramid.envelopes(_tiles(spark, sf_dir, (5, 8), "event_id % 50 = 0"))
+    absent = asked.where("(x + y) % 7 = 0").select(grid.tile_path(F.col("z"), F.col("x"), F.col("y")).alias("path"))
+    return pyramid.covers(asked, boxes, absent=absent)
+
+
+@query(f"""
+SELECT r.session, r.z, r.x, r.y, b.labels FROM ({ORACLE_SQL["residency_plan"]}) AS r JOIN (SELECT z, x, y, count(*) AS labels FROM {_sql_tiles((0, 2, 4, 6))} GROUP BY ALL) AS b ON b.z = r.z AND b.x = r.x AND b.y = r.y WHERE r.kind = 'draw'""")
+def drawn_buckets(spark, sf_dir):
+    """The label buckets of the tiles that each session draws."""
+    drawn = residency_plan(spark, sf_dir).where("kind = 'draw'")
+    buckets = _tiles(spark, sf_dir, tuple(RESIDENCY_LEVELS)).groupBy("z", "x", "y").agg(F.count("*").alias("labels"))
+    return residency.drawn_buckets(drawn, buckets).select("session", "z", "x", "y", "labels")
+
+
+_CENTRE = ", ".join(f"{i.sql_tile(m, '6')} AS {c}, {i.sql_cell(m, '6')} AS c{c}" for c, m in (("x", _X), ("y", _Y)))
+
+
+@query(f"""
+WITH c AS (SELECT event_id, {_CENTRE} FROM {i.SQL_POINTS} AS p WHERE event_id % 50 = 0),
+s AS (SELECT *, CASE WHEN ((x >> 2) + (y >> 2)) % 5 = 0 THEN 2 WHEN ((x >> 4) + (y >> 4)) % 3 <> 0 THEN 4 END AS up FROM c),
+w AS (SELECT event_id, x >> up AS sx, y >> up AS sy, (x - ((x >> up) << up) + cx / 65535.0) / (1 << up) * 255.0 AS tx, (y - ((y >> up) << up) + cy / 65535.0) / (1 << up) * 255.0 AS ty FROM s)
+SELECT event_id, round(3 * sx + 5 * sy + tx + 2 * ty, 6) AS height FROM w""")
+def centre_heights(spark, sf_dir):
+    """The height under each camera's centre through the nearest ancestor's raster, whose samples lie on a slope."""
+    z, x, y = (F.col(c) for c in "zxy")
+    held = spark.range(16 * 16).select(F.lit(4).alias("z"), (F.col("id") % 16).cast("int").alias("x"), F.floor(F.col("id") / 16).cast("int").alias("y")).where("(x + y) % 5 = 0")
+    held = held.unionByName(spark.range(16).select(F.lit(2).alias("z"), (F.col("id") % 4).cast("int").alias("x"), F.floor(F.col("id") / 4).cast("int").alias("y")).where("(x + y) % 3 <> 0"))
+    side = raster.SIDE
+    samples = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: (F.lit(11000) + x * 3 + y * 5 + k % side + F.floor(k / side) * 2).cast("int"))
+    cameras = i.points(spark, sf_dir).where("event_id % 50 = 0").select("event_id", "lon", "lat", F.lit(6).alias("level"))
+    return raster.centre_heights(cameras, held.withColumn("raster", samples)).select("event_id", F.round("height", 6).alias("height"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import assembly, parts, placement, raster, rollup
+from ..operators import assembly, mesh, parts, placement, raster, rollup
 from . import inputs as i
 
 QUERIES: dict = {}
@@ -346,14 +346,12 @@ def alpha_smoothing(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT p_partkey, p_size % 7 AS material, row_number() OVER (ORDER BY p_size % 7, p_partkey) AS pos FROM part)
-SELECT material, min(pos) AS first, count(*) AS n FROM m GROUP BY material""")
+WITH m AS (SELECT p_partkey % 40 AS tile, p_size % 7 AS material, row_number() OVER (PARTITION BY p_partkey % 40 ORDER BY p_size % 7, p_partkey) - 1 AS pos FROM part)
+SELECT tile, material, min(pos) AS first, count(*) AS n FROM m GROUP BY ALL""")
 def material_ranges(spark, sf_dir):
-    """Contiguous ranges of buildings sorted by material, by gaps and islands inside each group of tiles."""
-    p = i.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 7).alias("material"))
-    n = p.groupBy("material").agg(F.count("*").alias("n"))
-    first = F.sum("n").over(Window.orderBy("material").rowsBetween(Window.unboundedPreceding, -1))  # a row a material
-    return n.select("material", (F.coalesce(first, F.lit(0)) + 1).alias("first"), "n")
+    """Runs of one material in each tile's buildings."""
+    p = i.table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("tile"), "p_partkey", (F.col("p_size") % 7).alias("material"))
+    return mesh.material_ranges(p, ("tile",), "p_partkey").select("tile", "material", F.col("first").cast("long").alias("first"), "n")
 
 
 @query("""

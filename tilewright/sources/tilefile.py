@@ -20,6 +20,7 @@ from ..operators.parts import VERTICES
 MAGIC, VERSION, OLDEST = b"MT2\0", 6, 1
 BUILDINGS_FROM, HOLES_FROM, WIDE_IDS_FROM, MATERIAL_FROM = 2, 3, 4, 5
 RASTER_BASE, HEIGHTS, HEIGHTS_PACKED = 0xFF00, 0xFF00, 0xFF01
+TILE_BYTES = 4 << 20
 
 
 class TileError(ValueError):
@@ -267,6 +268,8 @@ def written(tiles: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             rows = []
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(data) > TILE_BYTES:
+                    raise ValueError(f"{path} has {len(data)} bytes, a tile may have {TILE_BYTES}")
                 store.create_dir(f"{root}/{path.rpartition('/')[0]}", recursive=True)
                 with store.open_output_stream(f"{root}/{path}") as out:
                     out.write(data)
