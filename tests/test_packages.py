@@ -1,4 +1,4 @@
-"""Packages: resuming level by level, carved manifests, limits."""
+"""Packages: resuming level by level, carved manifests, limits, rasters."""
 
 from __future__ import annotations
 
@@ -64,3 +64,20 @@ def test_material_ranges(spark):
     rows = [(0, 1, "b"), (0, 2, "a"), (0, 3, "b"), (0, 3, "b"), (0, 4, None), (1, 5, "a")]
     got = mesh.material_ranges(spark.createDataFrame(rows, "tile int, id int, material string"), ("tile",), "id").collect()
     assert sorted((r.tile, r.first, r.n, r.material) for r in got) == [(0, 0, 1, None), (0, 1, 1, "a"), (0, 2, 3, "b"), (1, 0, 1, "a")]
+
+
+def test_resampling_by_blocks_equals_whole_grids(spark):
+    from tilewright.functions import grid
+    from tilewright.operators import raster
+
+    rows = [(1, 0, -90.0, -40.0, 90.0, 60.0, 37, 23, [float(k % 8000) for k in range(37 * 23)]), (2, 1, 0.0, 0.0, 45.0, 45.0, 1, 1, [5.0])]
+    grids = spark.createDataFrame(rows, "grid_id int, ordinal int, west double, south double, east double, north double, width int, height int, samples array<float>")
+    at = spark.createDataFrame([(3, 4, 3, 1), (3, 3, 4, 1), (4, 9, 7, 2), (4, 9, 6, None)], "z int, x int, y int, grid_id int")
+    got = {tuple(r)[:5]: r.stored for r in raster.resampled(at, grids, block=50).collect()}
+    assert len(got) == 3 * raster.SIDE**2
+    whole = at.withColumn("i", F.explode(F.array(*map(F.lit, (0, 1, 100, 255))))).withColumn("j", F.explode(F.array(*map(F.lit, (0, 77, 255)))))
+    place = lambda c: raster.raster_coord(F.col(c))
+    lon, lat = grid.lon_at(F.col("z"), F.col("x").cast("long"), place("j")), grid.lat_at(F.col("z"), F.col("y").cast("long"), place("i"))
+    one = whole.join(grids.select("grid_id", F.struct("west", "south", "east", "north", "width", "height", "samples").alias("g")), "grid_id")
+    want = one.select("z", "x", "y", "i", "j", grid.encode_height(raster.sample(F.col("g"), lon, lat).cast("double")).alias("stored")).collect()
+    assert len(want) == 36 and all(got[tuple(r)[:5]] == r.stored for r in want)

@@ -20,6 +20,8 @@ from . import residency
 SIDE = grid.HEIGHT_SIDE
 RASTER_BYTES, PACK_LEVEL, WINDOW_CELLS = SIDE * SIDE * 2, 9, 4 << 20
 LIGHT_AZIMUTH, LIGHT_ALTITUDE, HIGHLIGHT_GAIN = 315.0, 45.0, 0.35
+#: Samples of a block; a block travels with the samples that fall in it.
+BLOCK_CELLS = 1 << 16
 BELOW_ONE = 1.0 - 2.220446049250313e-16
 
 
@@ -37,11 +39,16 @@ def cell(offset: Column, span: Column, cells: Column) -> Column:
     return F.floor(F.least(F.greatest(offset / span, F.lit(0.0)), F.lit(BELOW_ONE)) * cells).cast("int")
 
 
-def sample(g: Column, lon: Column, lat: Column) -> Column:
-    """The nearest cell's sample."""
+def cell_index(g, lon: Column, lat: Column) -> Column:
+    """The place of the nearest cell in a grid's samples."""
     x = cell(lon - g["west"], g["east"] - g["west"], g["width"])
     y = cell(g["north"] - lat, g["north"] - g["south"], g["height"])
-    return F.get(g["samples"], y * g["width"] + x)
+    return y * g["width"] + x
+
+
+def sample(g: Column, lon: Column, lat: Column) -> Column:
+    """The nearest cell's sample."""
+    return F.get(g["samples"], cell_index(g, lon, lat))
 
 
 def raster_coord(index: Column) -> Column:
@@ -63,15 +70,26 @@ def covering_grid(tiles: DataFrame, grids: DataFrame) -> DataFrame:
     return tiles.join(best, ["z", "x", "y"], "left")
 
 
-def resampled(tiles: DataFrame, grids: DataFrame, side: int = SIDE) -> DataFrame:
-    """(z, x, y, i, j, stored): the tile's raster samples, row i column j, encoded; tiles name their grid_id."""
+def blocks(grids: DataFrame, cells: int = BLOCK_CELLS) -> DataFrame:
+    """(grid_id, block, samples): a grid's samples in runs of `cells`, so that no join moves a whole grid with every sample."""
+    of = F.explode(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / cells).cast("int"))).alias("block")
+    return grids.where(F.size("samples") > 0).select("grid_id", of, "samples").select("grid_id", "block", F.slice("samples", F.col("block") * cells + 1, F.lit(cells)).alias("samples"))
+
+
+def resampled(tiles: DataFrame, grids: DataFrame, side: int = SIDE, block: int = BLOCK_CELLS) -> DataFrame:
+    """(z, x, y, i, j, stored): the tile's raster samples, row i column j, encoded; tiles name their grid_id.
+
+    Samples meet the blocks of their grid that they fall in; only the grids' boxes, a plan's handful, are broadcast.  A tile whose
+    grid is missing or has no samples gives no rows."""
     step = 65535 // (side - 1) if side != SIDE else None
     at = lambda c: raster_coord(F.col(c)) if step is None else (F.col(c) * step).cast("int")
     cells = tiles.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(side - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
     placed = cells.withColumns({"lon": grid.lon_at(F.col("z"), F.col("x").cast("long"), at("j")), "lat": grid.lat_at(F.col("z"), F.col("y").cast("long"), at("i"))})
-    g = grids.select("grid_id", F.struct("west", "south", "east", "north", "width", "height", "samples").alias("g"))
-    met = placed.join(g, "grid_id")
-    return met.select("z", "x", "y", "i", "j", grid.encode_height(sample(F.col("g"), F.col("lon"), F.col("lat")).cast("double")).alias("stored"))
+    box = grids.select("grid_id", "west", "south", "east", "north", "width", "height")
+    index = cell_index({c: F.col(c) for c in box.columns}, F.col("lon"), F.col("lat"))
+    met = placed.join(F.broadcast(box), "grid_id").withColumn("index", index).withColumn("block", F.floor(F.col("index") / block).cast("int"))
+    met = met.select("z", "x", "y", "i", "j", "grid_id", "index", "block").join(blocks(grids, block), ["grid_id", "block"])
+    return met.select("z", "x", "y", "i", "j", grid.encode_height(F.get("samples", F.col("index") % block).cast("double")).alias("stored"))
 
 
 def decimated(cells: DataFrame, stride: int) -> DataFrame:

@@ -190,10 +190,11 @@ def height_sample(spark, sf_dir):
 
 @query(None)
 def height_resample(spark, sf_dir):
-    """Tile rasters of 16 x 16 samples from the first covering grid."""
+    """Sample count, sum and place-weighted sum of each tile's raster of 256 x 256 samples from the first covering grid."""
     t = spark.range(0, 64).select(F.lit(3).alias("z"), (F.col("id") % 8).cast("int").alias("x"), F.floor(F.col("id") / 8).cast("int").alias("y"))
     at = raster.covering_grid(t, _grids(spark, sf_dir)).where("grid_id is not null")
-    return raster.resampled(at, _grids(spark, sf_dir), 16)
+    cells = raster.resampled(at, _grids(spark, sf_dir))
+    return cells.groupBy("z", "x", "y").agg(F.count("*").alias("n"), F.sum("stored").alias("total"), F.sum(F.col("stored") * (F.col("i") * raster.SIDE + F.col("j"))).alias("weighted"))
 
 
 def _stored(spark, sf_dir):
