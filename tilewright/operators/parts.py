@@ -249,6 +249,28 @@ VERTICES = "array<struct<x:int,y:int>>"
 PART = f"id long, class string, flags int, rank int, name string, building struct<base_dm:int,top_dm:int,roof:string,material:string>, z int, x int, y int, ordinal int, vertices {VERTICES}, holes array<{VERTICES}>"
 
 
+def point_lists(column: pa.Array) -> list:
+    """Lists of points, or lists of such lists, as pairs of numbers, without an object for every point."""
+    inner = column.type.value_type
+    if not len(column):
+        return []
+    flat, ends = column.flatten(), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    points = list(zip(flat.field(0).to_pylist(), flat.field(1).to_pylist(), strict=True)) if pa.types.is_struct(inner) else point_lists(flat)
+    known = column.is_valid().to_pylist()
+    return [points[lo:hi] if k else None for lo, hi, k in zip([0, *ends], ends, known, strict=False)]
+
+
+def lists(rows: list[list], made) -> pa.ListArray:
+    """A list array of rows whose elements, one after another, made() turns into an array."""
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), made([x for r in rows for x in r]))
+
+
+def step_points(points: list[tuple[int, int]]) -> pa.StructArray:
+    xy = np.array(points, np.int32).reshape(-1, 2)
+    return pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
+
+
 def parts(features: DataFrame, levels: list[int]) -> DataFrame:
     """features (id, tags, vertices, holes: lists of struct<lon,lat>) at the levels that admit them, cut into tiles."""
     t = F.col("tags")
@@ -261,15 +283,21 @@ def parts(features: DataFrame, levels: list[int]) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         shape = to_arrow_schema(schema)
-        as_points = lambda v: [(p["lon"], p["lat"]) for p in v or []]
-        as_rows = lambda v: [{"x": a, "y": b} for a, b in v]
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                vertices, holes = as_points(r.pop("vertices")), [as_points(h) for h in r.pop("holes") or []]
-                for n, (x, y, v, h) in enumerate(tile_parts(r["class"], vertices, holes, r["z"])):
-                    rows.append(r | {"x": x, "y": y, "ordinal": n, "vertices": as_rows(v), "holes": [as_rows(k) for k in h]})
-            yield pa.RecordBatch.from_pylist(rows, schema=shape)
+            kinds, levels_ = batch.column("class").to_pylist(), batch.column("z").to_pylist()
+            lines, holes = point_lists(batch.column("vertices")), point_lists(batch.column("holes"))
+            of, tile, rings, cut = [], [], [], []
+            for i, (kind, level) in enumerate(zip(kinds, levels_, strict=True)):
+                for n, (x, y, v, h) in enumerate(tile_parts(kind, lines[i] or [], [k or [] for k in holes[i] or []], level)):
+                    of.append(i)
+                    tile.append((x, y, n))
+                    rings.append(v)
+                    cut.append(h)
+            rows = pa.array(of, pa.int32())
+            own = {c: batch.column(c).take(rows) for c in ("id", "class", "flags", "rank", "name", "building", "z")}
+            own |= {c: pa.array([t[k] for t in tile], pa.int32()) for k, c in enumerate(("x", "y", "ordinal"))}
+            own |= {"vertices": lists(rings, step_points), "holes": lists(cut, lambda rs: lists(rs, step_points))}
+            yield pa.RecordBatch.from_arrays([own[c].cast(shape.field(c).type) for c in shape.names], schema=shape)
 
     return ready.mapInArrow(run, schema)
 
