@@ -92,6 +92,26 @@ def test_qda_separates_by_covariance():
     assert ((s >= 0.5) == (y == 1)).mean() > 0.8
 
 
+def test_scores_of_the_qda_equal_brute_force():
+    """Log-densities from determinants and inverses of the shrunken covariances, row by row."""
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 1, (80, 4)) @ rng.normal(0, 1, (4, 4)), rng.normal(1, 2, (30, 4))])
+    y = np.repeat([0, 1], [80, 30])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    groups = [z[y == k] for k in (0, 1)]
+    covariances = [(g - g.mean(axis=0)).T @ (g - g.mean(axis=0)) / len(g) for g in groups]
+    pooled = sum(c * len(g) for c, g in zip(covariances, groups, strict=True)) / len(z)
+    q, want = quality_qda, []
+    for row in z:
+        d = []
+        for g, c in zip(groups, covariances, strict=True):
+            s = (1 - q.POOL - q.DIAGONAL) * c + q.POOL * pooled + q.DIAGONAL * np.diag(np.diag(pooled)) + q.RIDGE * np.eye(4)
+            v = row - g.mean(axis=0)
+            d.append(-0.5 * (v @ np.linalg.inv(s) @ v + np.log(np.linalg.det(s))) + np.log(len(g) / len(z)))
+        want.append(np.exp(d[1]) / (np.exp(d[0]) + np.exp(d[1])))
+    assert np.allclose(q.Model(x, y).score(x), want, atol=1e-9)
+
+
 def subsequences(word):
     """Every subsequence of three characters with its weight, occurrence by occurrence."""
     out = {}

@@ -9,12 +9,11 @@ characters and gaps lower it but do not break it.  Words over LENGTH characters
 Landmarks are words of toxic and of clean sentences in equal number, drawn without replacement with a chance that grows with the
 share of the class's texts that hold them.  The Nystroem map of a word's kernel values with them gives its features, and a
 linear SVM (squared hinge) judges them.  Training takes labelled sentences as bags of words: each toxic text has some word that
-must be toxic, and every further word that the last SVM calls toxic is so too, chosen anew in each round, half of the time with a
-foreign character inside; the words of clean
-texts are clean, each counted as often as clean texts hold it, and those further inside the margin than INSIDE are sought among
-all of them in each round.  A sentence is as toxic as its worst word, and a text's score is a logistic curve, fitted to the
-training texts, over the sum of the WORST largest margins of its sentences' words; a word on the clean side
-adds nothing, so a long clean text does not outweigh one insult.
+must be toxic, and every further word that the last SVM calls toxic is so too, chosen anew in each round, half of the time with
+a foreign character inside; the words of clean texts are clean, each counted as often as clean texts hold it, and those further
+inside the margin than INSIDE are sought among all of them in each round.  A sentence is as toxic as its worst word, and a
+text's score is a logistic curve, fitted to the training texts, over the sum of the WORST largest margins of its sentences'
+words; a word on the clean side adds nothing, so a long clean text does not outweigh one insult.
 
 As features are linear in a word's subsequences, the SVM folds into one weight for each of them: a word's margin is the sum of
 those weights over its subsequences, divided by their norm, and does not depend on the number of landmarks.
@@ -272,7 +271,8 @@ def train(docs, y: np.ndarray, most: int = LANDMARKS, rounds: int = 5):
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     # Start from the toxic texts' words that such texts hold most often for each time that clean ones do, and frequent clean words.
     share = bad / (good + 1)
-    positive = np.unique(np.concatenate([b[(share[b] == share[b].max()) if share[b].max() <= 1 else (share[b] >= share[b].max() / 2)][:: 1 if share[b].max() > 1 else len(b)] for b in toxic]))
+    telling = lambda b, best: b[share[b] >= best / 2] if best > 1 else b[[np.argmax(share[b])]]
+    positive = np.unique(np.concatenate([telling(b, share[b].max()) for b in toxic]))
     mined = np.argsort(-good, kind="stable")[: min(START, int((good > 0).sum()))]
     root32 = root.astype(np.float32)
     pool, x, w = np.empty(0, np.int64), np.empty((0, len(kernel.landmarks)), np.float32), None
