@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of docs.
 No SQL can express the stages, so there is no ORACLE_SQL; tests hold them against brute force.
+
+Defined cases: a null or blank text is never toxic, is nobody's copy, loses nothing, is not mixed (the mix has words only) and so
+is not encoded; a row without an id stays and removes nothing elsewhere; rows that repeat an id are judged alike, so the
+repeats of a kept document stay; a null source is a source of its own; no documents give no rows.
 """
 
 from __future__ import annotations
