@@ -147,7 +147,7 @@ def request_states(spark, sf_dir):
     """Responses worth a second try, and bodies beyond the tile limit."""
     k = F.col("event_id")
     status = F.when(k % 9 == 0, F.lit(429)).when(k % 9 == 2, F.lit(503)).when(k % 9 != 4, F.lit(200))
-    return i.table(spark, sf_dir, "events").agg(F.count("*").alias("requests"), F.count_if(pyramid.retryable(status)).alias("retryable"), F.count_if(k * 700 > pyramid.TILE_BYTES).alias("oversize"))
+    return i.table(spark, sf_dir, "events").agg(F.count("*").alias("requests"), F.count_if(pyramid.retryable(status)).alias("retryable"), F.count_if(k * 700 > tilefile.TILE_BYTES).alias("oversize"))
 
 
 @query("SELECT array_to_string(list_sort(list_distinct(list_concat([c_custkey % 5, c_custkey % 7], [3, 1]))), ',') AS levels, count(*) AS packages FROM customer GROUP BY ALL")
