@@ -101,6 +101,26 @@ def cells(b: DataFrame, size: float = CELL) -> DataFrame:
     return b.withColumn("cy", F.explode(F.sequence(cell("y0"), cell("y1")))).withColumn("cx", F.explode(F.sequence(cell("x0"), cell("x1"))))
 
 
+def _classes(rows: DataFrame, *alike: str) -> DataFrame:
+    """Rows that agree on `alike` as one: ids, the members of one input partition, so that no class is ever gathered whole."""
+    return rows.where("id is not null").withColumn("part", F.spark_partition_id()).groupBy(*alike, "part").agg(F.collect_list("id").alias("ids")).drop("part")
+
+
+def _paired(m: DataFrame, n: DataFrame, alike: tuple[str, ...], cell: tuple[str, ...], meet: Column) -> DataFrame:
+    """Pairs (a, b) of members, a before b, of the classes of m and n that meet in a cell.
+
+    Classes are merged, never broadcast: a small table can hold many pairs.  The exchange keeps all its partitions, as pairs are
+    made behind it.  Unlike classes meet once, in one order; of a class with itself the members' own order keeps each pair once."""
+    parts = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m, n = (x.repartition(parts, *cell).alias(k) for x, k in ((m, "m"), (n, "n")))
+    key = lambda k: f"struct({', '.join(f'{k}.{c}' for c in alike)})"
+    same = F.expr(f"{key('m')} = {key('n')}")
+    on = F.expr(" and ".join(f"m.{c} = n.{c}" for c in cell)) & F.expr(f"{key('m')} <= {key('n')}") & meet
+    met = m.join(n.hint("merge"), on).select(same.alias("same"), F.col("m.ids").alias("one"), F.col("n.ids").alias("two"))
+    pairs = met.select("same", F.explode("one").alias("i"), "two").select("same", "i", F.explode("two").alias("j"))
+    return pairs.where("i < j or (i > j and not same)").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+
+
 def overlaps(b: DataFrame, key: str = "id") -> DataFrame:
     """Pairs (a, b) of boxes that overlap, a before b; edges that touch do not.  Each pair is found in its first common cell."""
     at = cells(b.select(F.col(key).alias("id"), "x0", "y0", "x1", "y1"))
@@ -111,14 +131,16 @@ def overlaps(b: DataFrame, key: str = "id") -> DataFrame:
 
 
 def near_repeats(c: DataFrame, key: str = "id", radius: float = REPEAT_RADIUS) -> DataFrame:
-    """Pairs of equal texts within the radius: equal text and a neighbouring cell of that size, then the distance."""
-    k = c.select(F.col(key).alias("id"), "text", "ax", "ay").where("text <> ''")
+    """Pairs of equal texts within the radius: equal text and a neighbouring cell of that size, then the distance.
+
+    Labels of one text at one place are compared as one and expanded last."""
+    alike = ("text", "ax", "ay")
+    k = _classes(c.select(F.col(key).alias("id"), *alike).where("text <> ''"), *alike)
     cell = lambda n: F.floor(F.col(n) / radius).cast("int")
     home = k.withColumns({"cx": cell("ax"), "cy": cell("ay")})
     around = home.withColumn("cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1))).withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
-    m, n = home.alias("m"), around.alias("n")
     near = F.hypot(F.col("m.ax") - F.col("n.ax"), F.col("m.ay") - F.col("n.ay")) <= radius
-    return m.join(n, F.expr("m.text = n.text and m.cx = n.cx and m.cy = n.cy and m.id < n.id") & near).select(F.col("m.id").alias("a"), F.col("n.id").alias("b"))
+    return _paired(home, around, alike, ("text", "cx", "cy"), near)
 
 
 def rank_inversions(placed: DataFrame) -> DataFrame:
