@@ -200,13 +200,14 @@ def test_rollups_on_ties_and_nothing(spark):
     assert rollup.retained(s, "study", 1).first().seq == 3
 
 
-def test_repeat_pairs_are_made_from_classes_and_never_broadcast(spark):
+def test_box_and_repeat_pairs_are_made_from_classes_and_never_broadcast(spark):
     at = [(7 * i % 5 * 20.0, 11 * i % 3 * 15.0) for i in range(60)] + [(0.0, 0.0)] * 30
     rows = [(None if i == 7 else i if i < 85 else 84, "ab"[i % 2] if i % 9 else "", x, y, x, y, x + 25.0, y + 10.0) for i, (x, y) in enumerate(at)]
     b = spark.createDataFrame(rows, "id int, text string, ax double, ay double, x0 double, y0 double, x1 double, y1 double").repartition(3)
     pairs = [(p, q) for p in rows for q in rows if p[0] is not None and q[0] is not None and p[0] < q[0]]
+    over = sorted((p[0], q[0]) for p, q in pairs if p[4] < q[6] and q[4] < p[6] and p[5] < q[7] and q[5] < p[7])
     near = sorted((p[0], q[0]) for p, q in pairs if p[1] and p[1] == q[1] and math.hypot(p[2] - q[2], p[3] - q[3]) <= 30)
-    for made, want in ((placement.near_repeats(b, radius=30.0), near),):
+    for made, want in ((placement.overlaps(b), over), (placement.near_repeats(b, radius=30.0), near)):
         assert sorted(map(tuple, made.collect())) == want
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "collect_list" in plan

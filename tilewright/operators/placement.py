@@ -122,12 +122,14 @@ def _paired(m: DataFrame, n: DataFrame, alike: tuple[str, ...], cell: tuple[str,
 
 
 def overlaps(b: DataFrame, key: str = "id") -> DataFrame:
-    """Pairs (a, b) of boxes that overlap, a before b; edges that touch do not.  Each pair is found in its first common cell."""
-    at = cells(b.select(F.col(key).alias("id"), "x0", "y0", "x1", "y1"))
-    m, n = at.alias("m"), at.alias("n")
-    meet = F.expr("m.cx = n.cx and m.cy = n.cy and m.id < n.id and m.x0 < n.x1 and n.x0 < m.x1 and m.y0 < n.y1 and n.y0 < m.y1")
+    """Pairs (a, b) of boxes that overlap, a before b; edges that touch do not.
+
+    Equal boxes are compared as one and expanded last; each pair of boxes is found in its first common cell."""
+    corners = ("x0", "y0", "x1", "y1")
+    at = cells(_classes(b.select(F.col(key).alias("id"), *corners), *corners))
+    meet = F.expr("m.x0 < n.x1 and n.x0 < m.x1 and m.y0 < n.y1 and n.y0 < m.y1")
     lead = F.expr(f"m.cx = floor(greatest(m.x0, n.x0) / {CELL}) and m.cy = floor(greatest(m.y0, n.y0) / {CELL})")
-    return m.join(n, meet & lead).select(F.col("m.id").alias("a"), F.col("n.id").alias("b"))
+    return _paired(at, at, corners, ("cx", "cy"), meet & lead)
 
 
 def near_repeats(c: DataFrame, key: str = "id", radius: float = REPEAT_RADIUS) -> DataFrame:
