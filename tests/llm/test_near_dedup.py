@@ -133,3 +133,36 @@ def test_a_large_bucket_is_dealt_over_salts(docs, monkeypatch):
     for k, threshold in ((3, 85), (5, 80)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(docs(texts), k=k, threshold=threshold).collect()}
         assert got == brute(enumerate(texts), k, threshold)
+
+
+def test_late_pairs_in_blocks_equal_all_pairs(spark):
+    rng = random.Random(5)
+    threshold, most, bands = 85, 80, 6
+    docs = [(i, rng.randrange(80, 120), rng.choice([0, 0, 0, i, 7]), rng.choice([None, 0.1, 0.2, 0.4])) for i in range(300)]
+    keys = [[rng.randrange(5) + 10 * j for j in range(bands)] for _ in docs]
+    bits = [[rng.choice([0, 0, 0, 1 << rng.randrange(62), -1 - (1 << 40)]) for _ in range(8)] for _ in docs]
+    salts = {k: 1 + k % 3 for ks in keys for k in ks}
+    rest = [(k, i, n, comp, far, keys[i], bits[i], 0, salts[k]) for i, n, comp, far in docs for k in keys[i]]
+
+    def differ(x, y):
+        return sum(1 for a, b in zip(x, y, strict=True) for s in range(0, 64, 4) if (((a ^ b) & (2**64 - 1)) >> s) & 15)
+
+    want = set()
+    for x, y in ((x, y) for x in docs for y in docs if x[2] != 0):
+        common = [k for k, other in zip(keys[x[0]], keys[y[0]], strict=True) if k == other]
+        once = x[2] != y[2] and (x[0] < y[0] or y[2] == 0) and 100 * min(x[1], y[1]) >= threshold * max(x[1], y[1])
+        apart = x[3] is not None and y[3] is not None and abs(x[3] - y[3]) > 0.15 + 1e-9
+        if once and not apart and len(common) > 1 and differ(bits[x[0]], bits[y[0]]) <= most:
+            want.add((min(x[0], y[0]), max(x[0], y[0])))
+    assert len(want) > 1000
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        df = spark.createDataFrame(rest, "key long, id long, n long, comp long, far double, keys array<long>, bits array<long>, top long, salts int")
+        late = nd.late_pairs(df, threshold, most).collect()
+        assert sorted((r.a, r.b) for r in late) == sorted(want)
+        texts = [(i, " ".join(f"w{rng.randrange(12)}" for _ in range(40))) for i, *_ in docs]
+        made = nd.verified_in_places(spark.createDataFrame(late), spark.createDataFrame(texts, "id long, text string"), 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sets = {i: {tuple(w[j : j + 2]) for j in range(len(w) - 1)} for i, t in texts for w in [t.split()]}
+    assert sorted(map(tuple, made)) == sorted((a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in want)

@@ -42,6 +42,8 @@ MISS = 1e-5
 FULL = np.uint64(2**64 - 1)
 #: Members of a bucket that one task compares others with.
 SALTED = 1000
+#: Late pairs that are judged at a time.
+MEET = 1 << 18
 #: Documents whose shingles are sketched together, and the words after which a group is closed.
 GROUP, GROUP_WORDS = 512, 400_000
 
@@ -141,15 +143,12 @@ def most_differing(threshold: int, t: int) -> int:
     return m - 1
 
 
-def _differing(x: str, y: str, longs: int):
-    """Coordinates whose nibbles differ, by folding each nibble's bits of the exclusive or into its lowest."""
-    total = F.lit(0)
-    for i in range(longs):
-        d = F.get(F.col(x), i).bitwiseXOR(F.get(F.col(y), i))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-        total = total + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row, the coordinates whose nibbles differ, by folding the bits of the exclusive or into the lowest of each nibble."""
+    d = x ^ y
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
 
 
 def _groups(lists: list, sizes, most: int, limit: int):
@@ -241,9 +240,119 @@ def _sizes_fit(a: str, b: str, threshold: int):
     return F.expr(f"100 * least({a}, {b}) >= {threshold} * greatest({a}, {b})")
 
 
-def _apart(x: str, y: str, threshold: int):
-    """True where the two distances to a common pivot differ by more than a link allows, with a margin for rounding."""
-    return F.coalesce(F.abs(F.col(x) - F.col(y)) > 1 - threshold / 100 + 1e-9, F.lit(False))
+def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0]..start[0]+n[0]-1, start[1].., as one array."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _met(t: pa.Table, threshold: int, most: int):
+    """(index of x, index of y, block of x in its bucket) of the pairs to verify in whole buckets, which stand in order of key and
+    salt, those with others to meet (role 0) before those that are met (role 1).  About MEET pairs are judged at a time."""
+    flat = lambda c, kind: t.column(c).combine_chunks().flatten().to_numpy().view(kind).reshape(len(t), -1)
+    key, salt, role, ids, comp, top, n, far = (t.column(c).to_numpy() for c in ("key", "salt", "role", "id", "comp", "top", "n", "far"))
+    keys, bits = flat("keys", np.int64), flat("bits", np.uint64)
+    cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))))
+    group = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(t))))
+    others = np.bincount(group, role, len(cut)).astype(np.int64)
+    x = np.flatnonzero(role == 0)
+    first = np.append(cut, len(t))[group[x] + 1] - others[group[x]]
+    count = others[group[x]]
+    done = np.cumsum(count)
+    lo = 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + MEET, "right")))
+        i, j = np.repeat(x[lo:hi], count[lo:hi]), _runs(first[lo:hi], count[lo:hi])
+        lo = hi
+        fit = (comp[i] != comp[j]) & ((ids[i] < ids[j]) | (comp[j] == top[j])) & (100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
+        i, j = i[fit], j[fit]
+        # Two distances to a common pivot that differ by more than a link allows, with a margin for rounding; unknown ones are NaN.
+        fit = ~(np.abs(far[i] - far[j]) > 1 - threshold / 100 + 1e-9)
+        i, j = i[fit], j[fit]
+        for at in range(0, len(i), MEET // 8):
+            p, q = i[at : at + MEET // 8], j[at : at + MEET // 8]
+            near = _differing(bits[p], bits[q]) <= most
+            p, q = p[near], q[near]
+            # A pair is judged at the smallest of its common keys, of which it has two or more.
+            same = keys[p] == keys[q]
+            least = np.where(same, keys[p], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+            own = (same.sum(axis=1) > 1) & (least == key[p])
+            yield p[own], q[own], (p[own] - cut[group[p[own]]]) // SALTED
+
+
+def late_pairs(rest: DataFrame, threshold: int, most: int) -> DataFrame:
+    """(a, b, place): pairs of members of a bucket that are in different components and may be links, each at one place.
+
+    rest: key, id, n, comp, far, keys, bits, top, salts.  Members outside the bucket's largest component meet all others, which are
+    dealt over salts; two of them meet once.  Buckets stream through in order and are judged many at a time."""
+    kind = rest.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("key", T.LongType()), T.StructField("salt", T.IntegerType()), T.StructField("block", T.LongType())])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def judged(t: pa.Table):
+            ids = t.column("id")
+            for p, q, block in _met(t, threshold, most) if len(t) else ():
+                if len(p):
+                    x, y = ids.take(pa.array(p)).combine_chunks(), ids.take(pa.array(q)).combine_chunks()
+                    at = pa.array(p)
+                    yield pa.RecordBatch.from_arrays([x, y, t.column("key").take(at).combine_chunks(), t.column("salt").take(at).combine_chunks(), pa.array(block, pa.int64())], names=schema.names)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            size += len(batch)
+            key, salt = batch.column("key").to_numpy(), batch.column("salt").to_numpy()
+            if held[0].column("key")[0].as_py() == key[-1] and held[0].column("salt")[0].as_py() == salt[-1]:
+                continue
+            t = pa.Table.from_batches(held)
+            key, salt = t.column("key").to_numpy(), t.column("salt").to_numpy()
+            whole = int(np.flatnonzero((key != key[-1]) | (salt != salt[-1]))[-1]) + 1
+            yield from judged(t.slice(0, whole))
+            held = t.slice(whole).to_batches()
+        if held:
+            yield from judged(pa.Table.from_batches(held))
+
+    own = ("id", "n", "comp", "far", "keys", "bits", "top")
+    far = F.coalesce(F.col("far").cast("double"), F.lit(float("nan"))).alias("far")
+    x = rest.where("comp <> top").select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), *own)
+    y = rest.select("key", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), *own)
+    dealt = x.unionByName(y).select("key", "salt", "role", *[far if c == "far" else c for c in own])
+    found = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "role").mapInArrow(run, schema)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.xxhash64("key", "salt", "block").alias("place"))
+
+
+def verified_in_places(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """As verified(), for pairs (a, b, place) of which many at a place share their texts: each text goes to a place once, so a large
+    group costs its texts and one intersection for each pair."""
+    kind = pairs.schema["a"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("both", T.LongType()), T.StructField("either", T.LongType())])
+
+    def run(batches):
+        place, sets = None, {}
+        for batch in batches:
+            places, ids, others, texts_ = (batch.column(c).to_pylist() for c in ("place", "a", "b", "text"))
+            made = {}
+            held = [i for i, x in enumerate(others) if x is None]
+            for part in _groups(held, lambda i: len(texts_[i] or "") // 5, GROUP, GROUP_WORDS):
+                made.update(zip(part, shingle_sets([words(texts_[i]) for i in part], k), strict=True))
+            out = []
+            for i, (at, a, b) in enumerate(zip(places, ids, others, strict=True)):
+                if at != place:
+                    place, sets = at, {}
+                if b is None:
+                    sets[a] = made.pop(i)
+                else:
+                    common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    out.append((a, b, common, len(sets[a]) + len(sets[b]) - common))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (batch.schema.field("a").type,) * 2 + (pa.int64(),) * 2, strict=True)], names=schema.names)
+
+    sent = pairs.select("place", F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id")
+    rows = sent.select("place", F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), "text").unionByName(pairs.select("place", "a", "b", F.lit(None).cast("string").alias("text")))
+    return rows.repartition("place").sortWithinPartitions("place", F.col("b").asc_nulls_first()).mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: int = 80, bands: int = BANDS) -> DataFrame:
@@ -271,23 +380,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     distance = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("both") / F.col("either")).alias("far"))
     rest = placed.join(mixed, "key").join(distance, ["pivot", "id"], "left").withColumn("far", F.when(F.expr("id = pivot"), 0.0).otherwise(F.col("far")))
     rest = written(rest.join(reps.select("id", "keys", "bits"), "id").select("key", "id", "n", "comp", "far", "keys", "bits", "top", "salts"), "mixed")
-    # Members outside the bucket's largest component meet all others, which are dealt over salts; two of them meet once.
-    x, y = (rest.select(*[F.col(c).alias(c + s) if c != "key" else F.col(c) for c in rest.columns]) for s in ("_x", "_y"))
-    x = x.where("comp_x <> top_x").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts_x") - 1)))
-    y = y.withColumn("salt", F.pmod(F.xxhash64("id_y"), F.col("salts_y")).cast("int"))
-    common = F.array_intersect("keys_x", "keys_y")
-    once = (F.col("id_x") < F.col("id_y")) | (F.col("comp_y") == F.col("top_y"))
-    meet = once & (F.col("comp_x") != F.col("comp_y")) & _sizes_fit("n_x", "n_y", threshold) & ~_apart("far_x", "far_y", threshold)
     t = max(SKETCH, bands * rows)
-    close = _differing("bits_x", "bits_y", -(-t // 16)) <= most_differing(threshold, t)
-    x, y = x.alias("x"), y.alias("y")
-    late = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & meet & close & (F.size(common) > 1) & (F.array_min(common) == F.col("x.key")))
-    late = late.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
-    late = late.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = written(verified(late.distinct(), texts, k), "verified")
+    late = written(late_pairs(rest, threshold, most_differing(threshold, t)).join(first.select("a", "b"), ["a", "b"], "left_anti").dropDuplicates(["a", "b"]), "late")
+    second = written(verified_in_places(late, texts, k), "verified")
     if not linked(second).isEmpty():
         comps = written(components(linked(first).unionByName(linked(second))), "comps")
-    dropped(reps, multi, texts, first, rest, second)
+    dropped(reps, multi, texts, first, rest, late, second)
 
     of_class = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     found = made.select("id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
