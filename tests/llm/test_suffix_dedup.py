@@ -127,3 +127,30 @@ def test_edge_cases(spark, docs):
     assert sd.remove_repeats(df.limit(0)).count() == 0
     rest = sd.without_repeats(df)
     assert rest.columns == df.columns and sorted(r.text for r in rest.collect())[:3] == ["", "", ""]
+
+
+def test_workers_hand_back_what_they_freed():
+    import os
+
+    import numpy as np
+
+    from tilewright.llm.common import trimmed
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGESIZE")
+
+    @trimmed
+    def run(batches):
+        held = [np.ones(1000) for _ in range(20_000)]  # small arrays, which the C heap keeps
+        pin = [np.ones(1000) for _ in range(4)]
+        del held
+        yield from batches
+        del pin
+
+    before = resident()
+    assert list(run(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 40 << 20
+    from tilewright.llm import bpe, near_dedup, suffix_dedup, toxicity
+
+    assert all(m.trimmed is trimmed for m in (bpe, near_dedup, suffix_dedup, toxicity))

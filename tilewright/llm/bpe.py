@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import trimmed
+
 LONG = 512
 #: Entries of a worker's cache of pieces; it is emptied when it reaches this size.
 CACHE = 200_000
@@ -223,6 +225,7 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
+    @trimmed
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
@@ -245,6 +248,7 @@ def token_ids(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", tex
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
+    @trimmed
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
@@ -259,6 +263,7 @@ def texts(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id", ids:
     kind = encoded.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("bytes", T.BinaryType())])
 
+    @trimmed
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, written
+from .common import dropped, trimmed, written
 
 #: Band keys, and coordinates of a sketch; the first bands * rows coordinates make the keys, all of them judge late pairs.
 BANDS, SKETCH = 40, 640
@@ -167,6 +167,7 @@ def sketches(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
     lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.reshape(-1)))
 
+    @trimmed
     def run(batches):
         for batch in batches:
             lo = 0
@@ -185,6 +186,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     kind = pairs.schema["a"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("both", T.LongType()), T.StructField("either", T.LongType())])
 
+    @trimmed
     def run(batches):
         last, held = None, None
         for batch in batches:
@@ -287,6 +289,7 @@ def late_pairs(rest: DataFrame, threshold: int, most: int) -> DataFrame:
     kind = rest.schema["id"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("key", T.LongType()), T.StructField("salt", T.IntegerType()), T.StructField("block", T.LongType())])
 
+    @trimmed
     def run(batches):
         held: list[pa.RecordBatch] = []
         size = 0
@@ -330,6 +333,7 @@ def verified_in_places(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     kind = pairs.schema["a"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("both", T.LongType()), T.StructField("either", T.LongType())])
 
+    @trimmed
     def run(batches):
         place, sets = None, {}
         for batch in batches:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, written
+from .common import dropped, handed_back, trimmed, written
 
 WINDOW, GRAM = 50, 16
 #: Gram positions in a window, which is also the most windows of a segment; the windows hashed at a time.
@@ -378,6 +378,7 @@ def _chunks(docs: DataFrame, key: str, text: str, carry: bool) -> DataFrame:
     if other.fields:
         kinds = kinds.append(pa.field("rest", pa.list_(to_arrow_type(other))))
 
+    @trimmed
     def run(batches):
         part, seq, ids, texts, rest, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
@@ -414,6 +415,7 @@ _STEP = T.StructType([T.StructField("shard", _LONG), T.StructField("chunk", _LON
 def _counted(chunks: DataFrame, bits: int) -> DataFrame:
     """(chunk, masks): for each chunk a blob per shard with one bit per distinct anchor, set if another chunk has it too."""
 
+    @trimmed
     def send(batches):
         for batch in batches:
             for x in _each(batch):
@@ -423,7 +425,9 @@ def _counted(chunks: DataFrame, bits: int) -> DataFrame:
                 shard = found >> np.uint64(32)
                 cut = _starts(shard)
                 parts = np.split(found.astype(np.uint32), cut[1:]) if len(cut) else []
-                yield _rows(_STEP, shard[cut].astype(np.int64), np.full(len(cut), x["chunk"]), [_pack(p) for p in parts])
+                blobs = [_pack(p) for p in parts]
+                del c, found, parts  # before the next chunk is read
+                yield _rows(_STEP, shard[cut].astype(np.int64), np.full(len(cut), x["chunk"]), blobs)
 
     def count(table: pa.Table) -> pa.Table:
         lists = [_unpack(b, np.uint32)[0] for b in table.column("blob").to_pylist()]
@@ -466,6 +470,7 @@ def _sent(family: Family, kept: np.ndarray, shard: np.ndarray, chunk: np.ndarray
 def _settled(chunks: DataFrame, masks: DataFrame, bits: int) -> DataFrame:
     """Rows of two kinds: with shard -1 the repeats inside a chunk, else the segments of a chunk that other chunks may hold."""
 
+    @trimmed
     def run(batches):
         for batch in batches:
             for x in _each(batch):
@@ -493,6 +498,7 @@ def _settled(chunks: DataFrame, masks: DataFrame, bits: int) -> DataFrame:
                 for s, blob in _sent(family, kept, shard[index[kept]], np.full(len(own), x["chunk"]), pos):
                     shards.append(s)
                     blobs.append(blob)
+                del c, family  # before the next chunk is read
                 yield _rows(_STEP, shards, [x["chunk"]] * len(shards), blobs)
 
     joined = chunks.select("chunk", "ids", "sizes", "blob", "found").join(masks, "chunk", "left")
@@ -542,6 +548,8 @@ def _merged(rows: DataFrame) -> DataFrame:
             shards.append(shard)
             chunks.append(group)
             blobs.append(_pack(chunk[at], np.diff(pos[at], prepend=np.int64(0)), (hi - lo).astype(np.uint32), np.diff(doc[kept], prepend=np.int64(0)), n[kept], left[kept], buf[_spread(family.at[kept], width[kept])]))
+        del family, buf
+        handed_back()
         return pa.Table.from_batches([_rows(_STEP, shards, chunks, blobs)])
 
     return rows.groupBy("shard", "group").applyInArrow(run, _STEP)
@@ -592,6 +600,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(key, n_bytes, n_removed, n_spans, kept_sha256) per row."""
     schema = T.StructType([T.StructField(key, _LONG), T.StructField("n_bytes", _LONG), T.StructField("n_removed", _LONG), T.StructField("n_spans", _LONG), T.StructField("kept_sha256", T.StringType())])
 
+    @trimmed
     def run(batches):
         for batch in batches:
             for x in _each(batch):
@@ -623,6 +632,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     schema = docs.schema
     shape = to_arrow_schema(schema)
 
+    @trimmed
     def run(batches):
         for batch in batches:
             for x in _each(batch):

@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import trimmed
+
 #: Most labelled rows that fit() learns from, most landmarks, and the words that a worker remembers.
 SAMPLE, LANDMARKS, CACHE = 6_000, 600, 200_000
 #: A word is drawn as a landmark with a weight that is this power of the number of texts that hold it.
@@ -321,6 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = chosen.orderBy(F.xxhash64("k"), "k", "y").limit(sample)  # at most `sample` rows of two numbers
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("s", T.StringType())])
 
+    @trimmed
     def run(batches):
         for batch in batches:
             # A sentence arrives as its distinct words; clean repetitions cost nothing.
@@ -350,6 +353,7 @@ def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text") -> Da
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the alphabet of LANDMARKS words
 
+    @trimmed
     def run(batches):
         own = sent.value
         for batch in batches:
@@ -366,6 +370,7 @@ def clean(docs: DataFrame, model, text: str = "text", threshold: float = 0.5) ->
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names, at = docs.columns, docs.columns.index(text)
 
+    @trimmed
     def run(batches):
         own = sent.value
         for batch in batches:
