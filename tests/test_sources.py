@@ -242,3 +242,29 @@ def test_tile_features_in_sql(spark):
 
 def mt2_bytes():
     return tilefile.encode(1, 0, 0, [feature()])
+
+
+def test_tiles_stream_through_small_batches(spark):
+    from tilewright.sources import tilefile
+
+    hole = [[(3, 3), (4, 3), (4, 4), (3, 3)]]
+    rows = [(i % 3, "Water" if i % 2 else "Label", i, i % 4, 0, f"n{i}", [(1, 2), (9, 2), (9, 9), (1, 2)], hole if i % 4 == 1 else []) for i in range(50)]
+    shape = "z int, x int, y int, class string, id long, flags int, rank int, name string, building struct<base_dm:int,top_dm:int,roof:string,material:string>, vertices array<struct<x:int,y:int>>, holes array<array<struct<x:int,y:int>>>"
+    p = spark.createDataFrame([(2, x, 1, cls, i, flags, rank, name, None, v, h) for x, cls, i, flags, rank, name, v, h in rows], shape).repartition(5)
+    heights = spark.createDataFrame([(2, 0, 1, bytearray(b"packed")), (2, 3, 3, bytearray(b"alone"))], "z int, x int, y int, packed binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        made = tilefile.built(p, heights)
+        assert "collect_list" not in made._jdf.queryExecution().executedPlan().toString()
+        out = {(t.z, t.x, t.y): t for t in made.collect()}
+        back = sorted((f.x, f["class"], f.id, f.name, [tuple(v) for v in f.vertices], [[tuple(v) for v in h] for h in f.holes]) for f in tilefile.decoded(made).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k: t.features for k, t in out.items()} == {(2, 0, 1): 17, (2, 1, 1): 17, (2, 2, 1): 16}
+    assert [dict(tilefile.sections(bytes(out[2, x, 1].content))[2]).get(tilefile.HEIGHTS_PACKED) for x in range(3)] == [b"packed", None, None]
+    code = {r["class"]: r.c for r in p.select("class", tilefile.style.class_code(F.col("class")).alias("c")).distinct().collect()}
+    assert back == sorted((x, code[cls], i, name, v, h) for x, cls, i, _, _, name, v, h in rows)
+    for t in out.values():
+        of = sorted((code[r[1]], r[2], r) for r in rows if r[0] == t.x)
+        plain = [{"class": c, "id": i, "flags": r[3], "rank": r[4], "name": r[5], "building": None, "vertices": r[6], "holes": r[7]} for c, i, r in of]
+        assert bytes(t.content) == tilefile.encode(2, t.x, 1, plain, {tilefile.HEIGHTS_PACKED: b"packed"} if t.x == 0 else None)

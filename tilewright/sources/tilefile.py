@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import grid, style
-from ..operators.parts import VERTICES
+from ..operators.parts import VERTICES, lists, point_lists, step_points
 
 # Fixed values.
 MAGIC, VERSION, OLDEST = b"MT2\0", 6, 1
 BUILDINGS_FROM, HOLES_FROM, WIDE_IDS_FROM, MATERIAL_FROM = 2, 3, 4, 5
 RASTER_BASE, HEIGHTS, HEIGHTS_PACKED = 0xFF00, 0xFF00, 0xFF01
 TILE_BYTES = 4 << 20
+# Features, and bytes of tiles, that one record batch holds at most before it is sent on.
+BATCH_FEATURES, BATCH_BYTES = 4096, 8 << 20
 
 
 class TileError(ValueError):
@@ -176,16 +178,27 @@ def decoded(tiles: DataFrame, classes: list[int] | None = None) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         shape = to_arrow_schema(schema)
-        points = lambda v: [{"x": a, "y": b} for a, b in v]
+        plain = [n for n in shape.names if n not in ("vertices", "holes")]
+
+        def batch_of(rows):
+            own = {n: pa.array([r[n] for r in rows], shape.field(n).type) for n in plain}
+            own |= {"vertices": lists([r["vertices"] for r in rows], step_points), "holes": lists([r["holes"] for r in rows], lambda rs: lists(rs, step_points))}
+            return pa.RecordBatch.from_arrays([own[n].cast(shape.field(n).type) for n in shape.names], schema=shape)
+
         for batch in batches:
             rows = []
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                version, (z, x, y), parts = sections(data)
+            for i in range(len(batch)):
+                path = batch.column(0)[i].as_py()
+                version, (z, x, y), parts = sections(batch.column(1)[i].as_py())
                 for c, payload in parts:
                     if c < RASTER_BASE and (wanted is None or c in wanted):
                         for f in features(payload, version):
-                            rows.append(f | {"path": path, "z": z, "x": x, "y": y, "class": c, "vertices": points(f["vertices"]), "holes": [points(h) for h in f["holes"]]})
-            yield pa.RecordBatch.from_pylist(rows, schema=shape)
+                            rows.append(f | {"path": path, "z": z, "x": x, "y": y, "class": c})
+                            if len(rows) >= BATCH_FEATURES:
+                                yield batch_of(rows)
+                                rows = []
+            if rows:
+                yield batch_of(rows)
 
     return tiles.select("path", "content").mapInArrow(run, schema)
 
@@ -222,35 +235,56 @@ TILE = "z int, x int, y int, path string, content binary, features long"
 def built(parts: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     """Tiles (z, x, y, path, content, features) from parts; features by (class code, id), equal ones by layer and ordinal.
 
-    parts: z, x, y, class (name), id, flags, rank, name, building, vertices, holes and optionally layer_id and ordinal.  A tile is
-    one group; its size is what one file may hold.  heights: (z, x, y, packed) rasters for some of the tiles."""
+    parts: z, x, y, class (name), id, flags, rank, name, building, vertices, holes and optionally layer_id and ordinal.  Parts
+    stream through in order, so a task holds one tile, whose size is what one file may hold, and not the tiles of a batch.
+    heights: (z, x, y, packed) rasters for some of the tiles, one a tile."""
     spark_class = style.class_code(F.col("class"))
     p = parts.withColumn("code", spark_class)
     for c in ("layer_id", "ordinal"):
         if c not in p.columns:
             p = p.withColumn(c, F.lit(0))
     order = ["code", "id", "layer_id", "ordinal"]
-    row = F.struct(*order, "flags", "rank", "name", "building", "vertices", "holes")
-    tiles = p.groupBy("z", "x", "y").agg(F.collect_list(row).alias("rows"))
+    own = [*order, "flags", "rank", "name", "building", "vertices", "holes"]
+    tile = ["z", "x", "y"]
+    p = p.select(*tile, F.lit(None).cast("binary").alias("packed"), *own)
     if heights is not None:
-        tiles = tiles.join(heights.select("z", "x", "y", "packed"), ["z", "x", "y"], "left")
-    else:
-        tiles = tiles.withColumn("packed", F.lit(None).cast("binary"))
-    tiles = tiles.select("z", "x", "y", "rows", "packed")
+        p = p.unionByName(heights.select(*tile, "packed").where("packed is not null"), allowMissingColumns=True)
+    # A raster stands before its tile's parts.
+    tiles = p.repartition(*tile).sortWithinPartitions(*tile, F.col("packed").isNull(), *order)
     schema = T._parse_datatype_string(TILE)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        flat = lambda v: [(q["x"], q["y"]) for q in v]
+        shape = to_arrow_schema(schema)
+        at, made, packed, out, size = None, [], None, [], 0
+
+        def ended():
+            """The bytes of the tile that was read to its end, if it has parts."""
+            if not made:
+                return 0
+            data = encode(*at, made, {HEIGHTS_PACKED: packed} if packed else None)
+            out.append({"z": at[0], "x": at[1], "y": at[2], "path": f"{at[0]}/{at[1]}/{at[2]}.mt2", "content": data, "features": len(made)})
+            return len(data)
+
         for batch in batches:
-            out = []
-            for t in batch.to_pylist():
-                rows = sorted(t["rows"], key=lambda r: tuple(r[c] for c in order))
-                made = [{"class": r["code"], "id": r["id"], "flags": r["flags"], "rank": r["rank"], "name": r["name"] or "", "building": r["building"], "vertices": flat(r["vertices"]), "holes": [flat(h) for h in r["holes"] or []]} for r in rows]
-                data = encode(t["z"], t["x"], t["y"], made, {HEIGHTS_PACKED: t["packed"]} if t["packed"] else None)
-                out.append({"z": t["z"], "x": t["x"], "y": t["y"], "path": f"{t['z']}/{t['x']}/{t['y']}.mt2", "content": data, "features": len(made)})
-            yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(schema))
+            plain = {n: batch.column(n).to_pylist() for n in (*tile, "packed", "code", "id", "flags", "rank", "name", "building")}
+            vertices, holes = point_lists(batch.column("vertices")), point_lists(batch.column("holes"))
+            for i, key in enumerate(zip(plain["z"], plain["x"], plain["y"], strict=True)):
+                if key != at:
+                    size += ended()
+                    at, made, packed = key, [], None
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, schema=shape)
+                        out.clear()
+                        size = 0
+                if plain["packed"][i] is not None:
+                    packed = plain["packed"][i]
+                else:
+                    made.append({"class": plain["code"][i], "id": plain["id"][i], "flags": plain["flags"][i], "rank": plain["rank"][i], "name": plain["name"][i] or "", "building": plain["building"][i], "vertices": vertices[i], "holes": [h or [] for h in holes[i] or []]})
+        ended()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
 
     return tiles.mapInArrow(run, schema)
 
