@@ -245,6 +245,312 @@ def tile_parts(cls: str, vertices: list[Point], holes: list[list[Point]], level:
                         yield x, y, q, []
 
 
+def offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of each run, one run after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - offsets(sizes)[:-1], sizes)
+
+
+class Ragged:
+    """Rows of points, one after another: x, y, and the number of points of each row."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, sizes: np.ndarray):
+        self.x, self.y, self.sizes = x, y, sizes
+
+    @property
+    def at(self) -> np.ndarray:
+        return offsets(self.sizes)
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def take(self, rows: np.ndarray) -> Ragged:
+        k = spread(self.at[:-1][rows], self.sizes[rows])
+        return Ragged(self.x[k], self.y[k], self.sizes[rows])
+
+    def keep(self, mask: np.ndarray) -> Ragged:
+        return Ragged(self.x[mask], self.y[mask], np.bincount(self.row[mask], minlength=len(self.sizes)))
+
+    def beside(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of each point's neighbours before and after it, around its row."""
+        n, at = len(self.x), self.at
+        held = self.sizes > 0
+        first, last = at[:-1][held], at[1:][held] - 1
+        before, after = np.arange(n) - 1, np.arange(n) + 1
+        before[first], after[last] = last, first
+        return before, after
+
+    def least(self, v: np.ndarray, f=np.minimum) -> np.ndarray:
+        """The least (or by f greatest) value of each row; rows must not be empty."""
+        return f.reduceat(v, self.at[:-1]) if len(v) else v[:0]
+
+
+def _mapped(f, *columns: np.ndarray) -> np.ndarray:
+    """A function of the math module over columns: its last bits differ from numpy's, and parts stay what they were."""
+    return np.fromiter(map(f, *(c.tolist() for c in columns)), np.float64, len(columns[0]))
+
+
+def _projected(r: Ragged, level: int) -> Ragged:
+    n = float(1 << level)
+    phi = np.minimum(np.maximum(r.y, -grid.MAX_LATITUDE), grid.MAX_LATITUDE) * (math.pi / 180.0)
+    up = _mapped(math.log, _mapped(math.tan, phi) + 1.0 / _mapped(math.cos, phi))
+    return Ragged((r.x + 180.0) / 360.0 * n, (1.0 - up / math.pi) / 2.0 * n, r.sizes)
+
+
+def _bounds(r: Ragged, level: int) -> list[np.ndarray]:
+    """First and last tile column and row of each row of points; rows must not be empty."""
+    edge = lambda v: np.clip(np.floor(v), 0, (1 << level) - 1).astype(np.int64)
+    return [edge(r.least(v, f)) for v in (r.x, r.y) for f in (np.minimum, np.maximum)]
+
+
+def _covers(bounds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, x, y) of the tiles within bounds, row by row of tiles."""
+    x0, x1, y0, y1 = bounds
+    wide = x1 - x0 + 1
+    n = wide * (y1 - y0 + 1)
+    row = np.repeat(np.arange(len(n)), n)
+    k = spread(np.zeros(len(n), np.int64), n)
+    return row, x0[row] + k % wide[row], y0[row] + k // wide[row]
+
+
+def _half(r: Ragged, axis: int, at: np.ndarray, sign: int) -> Ragged:
+    """One side of Sutherland-Hodgman for every ring, `at` by row."""
+    along, across = (r.x, r.y) if axis == 0 else (r.y, r.x)
+    row = r.row
+    edge = at[row]
+    held = (along - edge) * sign >= 0
+    if held.all():
+        return r
+    before, _ = r.beside()
+    crossing = np.flatnonzero(held[before] != held)
+    a, b = before[crossing], crossing
+    t = (edge[b] - along[a]) / (along[b] - along[a])
+    met, other = np.empty((len(row), 2)), np.empty((len(row), 2))
+    met[:, 1], other[:, 1] = along, across
+    met[crossing, 0], other[crossing, 0] = along[a] + (along[b] - along[a]) * t, across[a] + (across[b] - across[a]) * t
+    keep = np.zeros((len(row), 2), bool)
+    keep[crossing, 0], keep[:, 1] = True, held
+    sizes = np.bincount(row, weights=keep.sum(axis=1), minlength=len(r.sizes)).astype(np.int64)
+    met, other = met[keep], other[keep]
+    return Ragged(*((met, other) if axis == 0 else (other, met)), sizes)
+
+
+def _clipped(r: Ragged, x: np.ndarray, y: np.ndarray) -> Ragged:
+    """clip_ring of every ring with its tile."""
+    for axis, at, sign in ((0, x, 1), (0, x + 1.0, -1), (1, y, 1), (1, y + 1.0, -1)):
+        r = _half(r, axis, at, sign)
+    return r
+
+
+def _distances(r: Ragged, p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_distance of points at positions p from the segments between positions a and b."""
+    dx, dy = r.x[b] - r.x[a], r.y[b] - r.y[a]
+    n = dx * dx + dy * dy
+    px, py = r.x[p] - r.x[a], r.y[p] - r.y[a]
+    flat = n <= EPS
+    t = np.where(flat, 0.0, np.clip((px * dx + py * dy) / np.where(flat, 1.0, n), 0.0, 1.0))
+    return _mapped(math.hypot, px - t * dx, py - t * dy)
+
+
+def _rings_simplified(r: Ragged, cls: str, level: int, x: np.ndarray, y: np.ndarray) -> Ragged:
+    """simplify_ring of every ring with its tile."""
+    if cls == "Water" and level <= SNAP_LEVEL:
+        points, at = list(zip(r.x.tolist(), r.y.tolist(), strict=True)), r.at.tolist()
+        rings = [snapped(points[lo:hi]) for lo, hi in zip(at, at[1:], strict=False)]
+        xy = np.array([p for ring in rings for p in ring], np.float64).reshape(-1, 2)
+        return Ragged(xy[:, 0], xy[:, 1], np.array(list(map(len, rings)), np.int64))
+    if cls == "Building" or level >= EXACT_LEVEL:
+        return r
+    row = r.row
+    x, y = x[row], y[row]
+    on_edge = np.minimum(np.minimum(np.abs(r.x - x), np.abs(r.x - x - 1.0)), np.minimum(np.abs(r.y - y), np.abs(r.y - y - 1.0))) < EPS
+    judged = np.flatnonzero(~on_edge & (r.sizes[row] >= 4))
+    before, after = r.beside()
+    drop = judged[_distances(r, judged, before[judged], after[judged]) <= tolerance(level)]
+    left = r.sizes - np.bincount(row[drop], minlength=len(r.sizes))
+    keep = np.ones(len(row), bool)
+    keep[drop[left[row[drop]] >= 3]] = False
+    return r.keep(keep)
+
+
+def _lines_simplified(r: Ragged, cls: str, level: int) -> Ragged:
+    """simplify_line of every line: all stretches that are still open are split in the same round."""
+    if cls not in ROADS or level >= EXACT_LEVEL:
+        return r
+    at, limit = r.at, tolerance(level)
+    keep = np.zeros(len(r.x), bool)
+    keep[np.repeat(r.sizes < 3, r.sizes)] = True
+    lo, hi = at[:-1][r.sizes >= 3], at[1:][r.sizes >= 3] - 1
+    keep[lo] = keep[hi] = True
+    while len(lo):
+        lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+        n = hi - lo - 1
+        p, of = spread(lo + 1, n), np.repeat(np.arange(len(n)), n)
+        d = _distances(r, p, lo[of], hi[of])
+        far = np.maximum.reduceat(d, offsets(n)[:-1]) if len(n) else d
+        k = np.flatnonzero(d == far[of])
+        k = k[np.diff(of[k], prepend=-1) > 0]  # the first of the farthest
+        mid, split = p[k], far > limit
+        lo, hi, mid = lo[split], hi[split], mid[split]
+        keep[mid] = True
+        lo, hi = np.concatenate([lo, mid]), np.concatenate([mid, hi])
+    return r.keep(keep)
+
+
+def _lines_clipped(r: Ragged, x: np.ndarray, y: np.ndarray) -> tuple[Ragged, np.ndarray]:
+    """The stretches that clip_line makes of every line in its tile, and the row of each."""
+    row = r.row
+    a = np.flatnonzero(row[1:] == row[:-1])
+    of, ax, ay = row[a], r.x[a], r.y[a]
+    dx, dy = r.x[a + 1] - ax, r.y[a + 1] - ay
+    t0, t1 = np.zeros(len(a)), np.ones(len(a))
+    for d, low, high in ((dx, x[of] - ax, x[of] + 1.0 - ax), (dy, y[of] - ay, y[of] + 1.0 - ay)):
+        flat = np.abs(d) < EPS
+        out = flat & ((low > 0.0) | (high < 0.0))
+        by = np.where(flat, 1.0, d)
+        u, v = low / by, high / by
+        t0 = np.where(out, 1.0, np.where(flat, t0, np.maximum(t0, np.minimum(u, v))))
+        t1 = np.where(out, 0.0, np.where(flat, t1, np.minimum(t1, np.maximum(u, v))))
+    fx, fy, tx, ty = ax + dx * t0, ay + dy * t0, ax + dx * t1, ay + dy * t1
+    same = lambda px, py, qx, qy: (np.abs(px - qx) < EPS) & (np.abs(py - qy) < EPS)
+    k = np.flatnonzero((t0 <= t1) & ~same(fx, fy, tx, ty))
+    of, fx, fy, tx, ty = of[k], fx[k], fy[k], tx[k], ty[k]
+    new = np.ones(len(k), bool)
+    new[1:] = (of[1:] != of[:-1]) | ~same(tx[:-1], ty[:-1], fx[1:], fy[1:])
+    keep = np.stack([new, np.ones(len(k), bool)], axis=1)
+    sizes = np.bincount(np.cumsum(new) - 1, minlength=int(new.sum())) + 1
+    return Ragged(np.stack([fx, tx], axis=1)[keep], np.stack([fy, ty], axis=1)[keep], sizes), of[new]
+
+
+def _steps(r: Ragged, x: np.ndarray, y: np.ndarray, area: bool) -> tuple[Ragged, np.ndarray]:
+    """quantised() of every row with its tile: the rows that are left, and which they are."""
+    row = r.row
+    step = lambda v: np.clip(np.floor(v * SCALE + 0.5), 0, SCALE).astype(np.int32)
+    q = Ragged(step(r.x - x[row]), step(r.y - y[row]), r.sizes)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (q.x[1:] != q.x[:-1]) | (q.y[1:] != q.y[:-1])
+    q = q.keep(new)
+    if area and len(q.x):
+        at = q.at
+        lo, hi = np.minimum(at[:-1], len(q.x) - 1), np.maximum(at[1:] - 1, 0)
+        open_ = (q.sizes > 0) & ((q.x[lo] != q.x[hi]) | (q.y[lo] != q.y[hi]))
+        end, first = at[1:][open_], at[:-1][open_]
+        q = Ragged(np.insert(q.x, end, q.x[first]), np.insert(q.y, end, q.y[first]), q.sizes + open_)
+    rows = np.flatnonzero(q.sizes >= (4 if area else 2))
+    return q.take(rows), rows
+
+
+class Cut:
+    """Parts of features: of (their feature's number), x, y, rings or lines, and of their holes the part and the ring."""
+
+    def __init__(self, of, x, y, own: Ragged, hole_of=None, holes: Ragged | None = None):
+        none = np.zeros(0, np.int64)
+        self.of, self.x, self.y, self.own = of, x, y, own
+        self.hole_of, self.holes = (none, Ragged(none, none, none)) if holes is None else (hole_of, holes)
+
+
+def _points_cut(r: Ragged, level: int) -> Cut:
+    p, n = _projected(r, level), (1 << level) * grid.EXTENT
+    gx, gy = (np.clip(np.floor(v * grid.EXTENT + 0.5), 0, n - 1).astype(np.int64) for v in (p.x, p.y))
+    return Cut(np.arange(len(gx)), gx >> 16, gy >> 16, Ragged(gx & 65535, gy & 65535, r.sizes))
+
+
+def _lines_cut(points: Ragged, level: int) -> Cut:
+    row, x, y = _covers(_bounds(points, level))
+    cut, of = _lines_clipped(points.take(row), x, y)
+    q, left = _steps(cut, x[of], y[of], False)
+    of = of[left]
+    return Cut(row[of], x[of], y[of], q)
+
+
+def _areas_cut(points: Ragged, holes: Ragged, hole_of: np.ndarray, cls: str, level: int) -> Cut:
+    """Rings and their holes, which come in the order of their rings."""
+    row, x, y = _covers(_bounds(points, level))
+
+    def made(r, x, y):
+        return _steps(_rings_simplified(_clipped(r, x, y), cls, level, x, y), x, y, True)
+
+    q, left = made(points.take(row), x, y)
+    row, x, y = row[left], x[left], y[left]
+    n = np.bincount(hole_of, minlength=len(points.sizes))[row]
+    part, hole = np.repeat(np.arange(len(row)), n), spread(np.searchsorted(hole_of, row), n)
+    h, left = made(holes.take(hole), x[part], y[part])
+    return Cut(row, x, y, q, part[left], h)
+
+
+def flat_points(column: pa.Array) -> Ragged:
+    """A column of point lists without an object for every point; null lists are empty, null numbers NaN."""
+    flat = column.flatten()
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    x, y = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (0, 1))
+    return Ragged(x, y, sizes)
+
+
+#: Points of features times tiles of their boxes that are cut together.
+BLOCK = 2_000_000
+
+
+def cut_groups(kinds: list[str], levels: list[int], lines: Ragged, holes: Ragged, holes_of: np.ndarray):
+    """(features, Cut) for groups of features of one class and level, and last (the features left to tile_parts, None).
+
+    Left are those that meet the antimeridian, hold a number that is not finite, or are too large to hold for all their tiles at once."""
+    plain = np.ones(len(kinds), bool)
+    for r, of in ((lines, np.arange(len(kinds))), (holes, holes_of)):
+        if not len(r.x):
+            continue
+        row = of[r.row]
+        plain[row[~(np.isfinite(r.x) & np.isfinite(r.y))]] = False
+        own = r.row
+        plain[row[1:][(own[1:] == own[:-1]) & ~(np.abs(np.diff(r.x)) <= 180.0)]] = False
+        world = (r.x >= -180.0) & (r.x <= 180.0)
+        area = np.array([k in AREAS for k in kinds])
+        plain[row[area[row] & ~world]] = False
+        held = np.flatnonzero(r.sizes > 0)  # a ring wholly on the seam is shifted by a turn
+        low = r.take(held).least(r.x)
+        plain[of[held[area[of[held]] & (low >= 180.0)]]] = False
+    groups: dict[tuple, list[int]] = {}
+    for i in np.flatnonzero(plain & (lines.sizes > 0)).tolist():
+        point = kinds[i] in ("Poi", "Label") and lines.sizes[i] == 1
+        groups.setdefault((kinds[i], levels[i], point), []).append(i)
+    for (kind, level, point), members in groups.items():
+        rows = np.array(members)
+        own = lines.take(rows)
+        if point:
+            yield rows, _points_cut(own, level)
+            continue
+        points = _projected(own, level)
+        if kind not in AREAS:
+            points = _lines_simplified(points, kind, level)
+        x0, x1, y0, y1 = _bounds(points, level)
+        work = (x1 - x0 + 1) * (y1 - y0 + 1) * points.sizes
+        if (large := work > BLOCK).any():
+            plain[rows[large]] = False
+            rows, own, points, work = rows[~large], own.take(np.flatnonzero(~large)), points.take(np.flatnonzero(~large)), work[~large]
+        if not len(rows):
+            continue
+        work = np.cumsum(work) // BLOCK
+        for lo, hi in zip(*(lambda c: (c, [*c[1:], len(rows)]))([0, *(np.flatnonzero(np.diff(work)) + 1).tolist()]), strict=True):
+            part, k = rows[lo:hi], np.arange(lo, hi)
+            if kind not in AREAS:
+                yield part, _lines_cut(points.take(k), level)
+                continue
+            mine = np.flatnonzero(np.isin(holes_of, part) & (holes.sizes > 0))
+            at = np.searchsorted(part, holes_of[mine])
+            outer, inner = own.take(k), holes.take(mine)
+            start, end = outer.at.tolist(), inner.at.tolist()
+            px, py = outer.x.tolist(), outer.y.tolist()
+            hx, hy = inner.x.tolist(), inner.y.tolist()
+            within = [inside((hx[e], hy[e]), list(zip(px[start[a] : start[a + 1]], py[start[a] : start[a + 1]], strict=True))) for a, e in zip(at.tolist(), end, strict=False)]
+            held = np.flatnonzero(np.array(within, bool))
+            yield part, _areas_cut(points.take(k), _projected(inner.take(held), level), at[held], kind, level)
+    if not plain.all():
+        yield np.flatnonzero(~plain), None
+
+
 VERTICES = "array<struct<x:int,y:int>>"
 PART = f"id long, class string, flags int, rank int, name string, building struct<base_dm:int,top_dm:int,roof:string,material:string>, z int, x int, y int, ordinal int, vertices {VERTICES}, holes array<{VERTICES}>"
 
@@ -271,35 +577,59 @@ def step_points(points: list[tuple[int, int]]) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
 
 
-def parts(features: DataFrame, levels: list[int]) -> DataFrame:
-    """features (id, tags, vertices, holes: lists of struct<lon,lat>) at the levels that admit them, cut into tiles."""
+def _point_array(r: Ragged) -> pa.ListArray:
+    points = pa.StructArray.from_arrays([pa.array(r.x.astype(np.int32)), pa.array(r.y.astype(np.int32))], names=["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(r.at.astype(np.int32)), points)
+
+
+def _ragged(rows: list[list[Point]]) -> Ragged:
+    xy = np.array([p for r in rows for p in r]).reshape(-1, 2)
+    return Ragged(xy[:, 0], xy[:, 1], np.array(list(map(len, rows)), np.int64))
+
+
+def cut_singly(batch: pa.RecordBatch) -> Cut:
+    """The parts that tile_parts makes of every feature of a batch."""
+    kinds, levels = batch.column("class").to_pylist(), batch.column("z").to_pylist()
+    lines, holes = point_lists(batch.column("vertices")), point_lists(batch.column("holes"))
+    found = [(i, *p) for i, (k, z) in enumerate(zip(kinds, levels, strict=True)) for p in tile_parts(k, lines[i] or [], [h or [] for h in holes[i] or []], z)]
+    of, x, y = (np.array([f[k] for f in found], np.int64) for k in range(3))
+    hole_of = np.repeat(np.arange(len(found)), [len(f[4]) for f in found]).astype(np.int64)
+    return Cut(of, x, y, _ragged([f[3] for f in found]), hole_of, _ragged([h for f in found for h in f[4]]))
+
+
+def ready(features: DataFrame, levels: list[int]) -> DataFrame:
+    """features (id, tags, vertices, holes: lists of struct<lon,lat>) at the levels that admit them, with their attributes."""
     t = F.col("tags")
     f = features.withColumns({"class": tags.classify(t), "rank": tags.rank(t), "flags": tags.flags(t), "name": F.coalesce(tags.tag(t, "name"), F.lit(""))}).where("class is not null")
     f = f.withColumn("z", F.explode(F.array(*map(F.lit, levels)))).where(tags.eligible(F.col("class"), F.col("rank"), F.col("z")))
-    ready = f.select("id", "class", "flags", "rank", "name", tags.building(F.col("class"), t).alias("building"), "z", "vertices", "holes")
-    schema = T._parse_datatype_string(PART)
-
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        shape = to_arrow_schema(schema)
-        for batch in batches:
-            kinds, levels_ = batch.column("class").to_pylist(), batch.column("z").to_pylist()
-            lines, holes = point_lists(batch.column("vertices")), point_lists(batch.column("holes"))
-            of, tile, rings, cut = [], [], [], []
-            for i, (kind, level) in enumerate(zip(kinds, levels_, strict=True)):
-                for n, (x, y, v, h) in enumerate(tile_parts(kind, lines[i] or [], [k or [] for k in holes[i] or []], level)):
-                    of.append(i)
-                    tile.append((x, y, n))
-                    rings.append(v)
-                    cut.append(h)
-            rows = pa.array(of, pa.int32())
-            own = {c: batch.column(c).take(rows) for c in ("id", "class", "flags", "rank", "name", "building", "z")}
-            own |= {c: pa.array([t[k] for t in tile], pa.int32()) for k, c in enumerate(("x", "y", "ordinal"))}
-            own |= {"vertices": lists(rings, step_points), "holes": lists(cut, lambda rs: lists(rs, step_points))}
+    return f.select("id", "class", "flags", "rank", "name", tags.building(F.col("class"), t).alias("building"), "z", "vertices", "holes")
+
+
+def cut_batches(batches, schema: T.StructType):
+    """Batches of parts, by the schema of PART, of batches of ready() features."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shape = to_arrow_schema(schema)
+    for batch in batches:
+        kinds, levels_ = batch.column("class").to_pylist(), batch.column("z").to_pylist()
+        lines, inner = flat_points(batch.column("vertices")), batch.column("holes").flatten()
+        holes_of = np.repeat(np.arange(batch.num_rows), batch.column("holes").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        for rows, cut in cut_groups(kinds, levels_, lines, flat_points(inner), holes_of):
+            if cut is None:
+                cut = cut_singly(batch.take(pa.array(rows)))
+            rows = rows[cut.of]
+            first = np.flatnonzero(np.diff(cut.of, prepend=-1))
+            own = {c: batch.column(c).take(pa.array(rows)) for c in ("id", "class", "flags", "rank", "name", "building", "z")}
+            own |= {"x": pa.array(cut.x), "y": pa.array(cut.y), "ordinal": pa.array(spread(np.zeros(len(first), np.int64), np.diff(first, append=len(rows))))}
+            n = np.bincount(cut.hole_of, minlength=len(rows))
+            own |= {"vertices": _point_array(cut.own), "holes": pa.ListArray.from_arrays(pa.array(offsets(n).astype(np.int32)), _point_array(cut.holes))}
             yield pa.RecordBatch.from_arrays([own[c].cast(shape.field(c).type) for c in shape.names], schema=shape)
 
-    return ready.mapInArrow(run, schema)
+
+def parts(features: DataFrame, levels: list[int]) -> DataFrame:
+    """features (id, tags, vertices, holes: lists of struct<lon,lat>) at the levels that admit them, cut into tiles."""
+    schema = T._parse_datatype_string(PART)
+    return ready(features, levels).mapInArrow(lambda batches: cut_batches(batches, schema), schema)
 
 
 def one_tile(features: DataFrame, level: int) -> DataFrame:

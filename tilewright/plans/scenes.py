@@ -102,9 +102,8 @@ def ground_grid(spark, sf_dir):
 @query(None)
 def mesh_buckets(spark, sf_dir):
     """Fills, ribbons and buildings of the orders' features and a grid of buildings; tests compare areas."""
-    f = parts.parts(vectors._features(spark, sf_dir), [8])
-    b = scenes.building_grid(spark).withColumn("ordinal", F.lit(0)).select(*f.columns)
-    return mesh.buckets(f.unionByName(b)).groupBy("kind", "class").agg(F.sum("triangles").alias("triangles"), F.sum("miters").alias("miters"), F.sum("bevels").alias("bevels"))
+    p = mesh.cut_pieces(vectors._features(spark, sf_dir), [8]).unionByName(mesh.pieces(scenes.building_grid(spark)))
+    return mesh.summed(p).groupBy("kind", "class").agg(F.sum("triangles").alias("triangles"), F.sum("miters").alias("miters"), F.sum("bevels").alias("bevels"))
 
 
 @query(None)

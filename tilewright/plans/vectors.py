@@ -138,7 +138,9 @@ def _features(spark, sf_dir):
     hole = F.array(F.array(at(0.3, 0.3), at(0.6, 0.3), at(0.6, 0.6), at(0.3, 0.6), at(0.3, 0.3)))
     kind = k % 4
     tag = lambda a, b: F.create_map(F.lit(a), F.lit(b))
-    return i.table(spark, sf_dir, "orders").select(
+    # The keys of a file that is read as one part are dealt to all cores; what is made of them is many times as large.
+    keys = i.table(spark, sf_dir, "orders").select("o_orderkey").repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey")
+    return keys.select(
         k.alias("id"),
         F.when(kind == 0, tag("highway", "primary")).when(kind == 1, tag("natural", "water")).when(kind == 2, tag("leisure", "park")).otherwise(tag("place", "city")).alias("tags"),
         F.when(kind == 0, line).when(kind == 3, F.array(at(0, 0))).otherwise(ring(1.0)).alias("vertices"),
