@@ -47,3 +47,21 @@ def test_a_text_with_more_pieces_than_the_cache_holds(monkeypatch, reference):
     text = " ".join(f"w{i}x" for i in range(400))
     ids = reference.encode_ordinary(text)
     assert own.digest(own.split(text))[:2] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_plain_split_equals_the_general_one():
+    """The re module's classes hold what the regex module's properties hold, for every character and at every border."""
+    own, rng = bpe.codec(PATH, P.PATTERN), random.Random(4)
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    rng.shuffle(every)
+    for lo in range(0, len(every), 997):
+        part = every[lo : lo + 997]
+        for text in ("".join(part), " ".join(part), "a".join(part), "  \n".join(part), "1!".join(part)):
+            assert own.split_plain(text) == own.split_any(text)
+    letters = "ab '’sltve12 \t\n\x1c\x85\xa0 éß漢字!?-"
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+        assert own.split(text) == own.split_plain(text) == own.split_any(text)
+    assert own.beyond("a\U0001f600") and not own.beyond("a￿")
+    assert own.split("x \U00010400\U00010401 y") == ["x", " \U00010400\U00010401", " y"]
+    assert bpe.plain_split(r"\w+|\W") is None and bpe.plain_split(r"[\S]+") is None

@@ -16,6 +16,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -69,15 +70,43 @@ class PairTable:
         return out.reshape(shape)
 
 
+def _ranges(kind: str) -> str:
+    """The characters below U+10000 of a property, as the ranges of a class."""
+    import regex
+
+    runs = regex.findall(f"\\p{{{kind}}}+", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)])))
+    # A run of the string is one of code points too, unless it spans the surrogates.
+    whole = [r for run in runs for r in ([run] if ord(run[-1]) - ord(run[0]) == len(run) - 1 else run)]
+    return "".join(f"\\u{ord(r[0]):04x}-\\u{ord(r[-1]):04x}" for r in whole)
+
+
+def plain_split(pattern: str):
+    """findall of the pattern over texts below U+10000 by the re module, which looks classes up in a bitmap; None for a pattern
+    with other escapes than \\p{}, \\s and \\S."""
+    out, within = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.S):
+        if part[0] == "\\":
+            if part == "\\S" and within or part[:2] not in ("\\p", "\\s", "\\S"):
+                return None
+            own = _ranges(part[3:-1] if part[1] == "p" else "White_Space")
+            part = own if within else f"[{'^' * (part == '\\S')}{own}]"
+        else:
+            within = part == "[" or within and part != "]"
+        out.append(part)
+    return re.compile("".join(out)).findall
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         space = "\\p{White_Space}"
         # \s and \S mean the Unicode property, inside and outside a class.
-        self.split = regex.compile(pattern.replace("[^\\s", f"[^{space}").replace("\\S", f"[^{space}]").replace("\\s", space)).findall
+        self.split_any = regex.compile(pattern.replace("[^\\s", f"[^{space}").replace("\\S", f"[^{space}]").replace("\\s", space)).findall
+        self.split_plain, self.beyond = plain_split(pattern), re.compile("[^\x00-\uffff]").search
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
+        self.name = {i: str(i) for i in self.token}
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs, joined = [], []
         for token, rank in ranks.items():
@@ -88,9 +117,15 @@ class Codec:
                     joined.append(rank)
         self.pairs = PairTable(np.array(pairs, np.int64), np.array(joined, np.int32))
         self.pair_rank = dict(zip(pairs, joined, strict=True))
-        self.cache: dict[str, tuple[int, str, bytes]] = {}
+        #: Of each known piece, its ids joined by commas and its decoded bytes.
+        self.cache: dict[str, str] = {}
+        self.decoded: dict[str, bytes] = {}
+
+    def split(self, text: str) -> list[str]:
+        """The matches of the pattern."""
+        return self.split_any(text) if self.split_plain is None or self.beyond(text) else self.split_plain(text)
 
-    def _rounds(self, rows: list[bytes], width: int) -> list[np.ndarray]:
+    def _rounds(self, rows: list[bytes], width: int) -> list[list[int]]:
         """The ids of pieces of at most `width` bytes: one padded matrix, one merge per row and round."""
         n = len(rows)
         ids = np.full((n, width + 1), -1, np.int32)
@@ -104,8 +139,11 @@ class Codec:
             best = rank[np.arange(len(row)), at]
             done = best == NONE
             if done.any():
-                for k in np.flatnonzero(done):
-                    out[row[k]] = ids[k][ids[k] >= 0]
+                held = ids[done]
+                real = held >= 0
+                flat, ends = held[real].tolist(), np.cumsum(real.sum(axis=1)).tolist()
+                for k, lo, hi in zip(row[done].tolist(), [0, *ends], ends, strict=False):
+                    out[k] = flat[lo:hi]
                 go = ~done
                 row, ids, rank, at, best = row[go], ids[go], rank[go], at[go], best[go]
                 if not len(row):
@@ -127,7 +165,7 @@ class Codec:
             rank[left, at[left] - 1] = self.pairs.get(ids[left, at[left] - 1], ids[left, at[left]])
         return out
 
-    def _heap(self, piece: bytes) -> np.ndarray:
+    def _heap(self, piece: bytes) -> list[int]:
         """The same merges for one long piece: a heap of (rank, position) over a linked list."""
         ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
@@ -148,14 +186,14 @@ class Codec:
                     heapq.heappush(heap, (s, i, r, ids[k]))
             if (h := before[i]) >= 0 and (s := rank(ids[h] << 32 | r)) is not None:
                 heapq.heappush(heap, (s, h, ids[h], r))
-        return np.array([x for x in ids if x >= 0], np.int32)
+        return [x for x in ids if x >= 0]
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         out: list = [None] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if (whole := self.ranks.get(p)) is not None:
-                out[i] = np.array([whole], np.int32)
+                out[i] = [whole]
             elif len(p) > LONG:
                 out[i] = self._heap(p)
             else:
@@ -169,32 +207,37 @@ class Codec:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Put these pieces in the cache as (number of ids, ids joined by commas, decoded bytes)."""
+        """Put these pieces in the cache."""
         if len(self.cache) + len(pieces) > CACHE:
             self.cache.clear()
+            self.decoded.clear()
         new = [p for p in pieces if p not in self.cache]
+        name, token = self.name, self.token
         for p, ids in zip(new, self.encode_pieces([p.encode("utf-8") for p in new]), strict=True):
-            found = ids.tolist()
-            self.cache[p] = (len(found), ",".join(map(str, found)), self.decode(found))
+            self.cache[p] = ",".join([name[i] for i in ids])
+            self.decoded[p] = b"".join([token[i] for i in ids])
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
         pieces = self.split(text)
-        return [i for ids in self.encode_pieces([p.encode("utf-8") for p in pieces]) for i in ids.tolist()]
+        return [i for ids in self.encode_pieces([p.encode("utf-8") for p in pieces]) for i in ids]
 
     def digest(self, pieces: list[str]) -> tuple[int, str, str]:
         """(ids, sha256 of the ids, sha256 of the decoded bytes) of a text's pieces."""
         n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
         for lo in range(0, len(pieces), CACHE // 2):  # a text may have more pieces than the cache holds
             part = pieces[lo : lo + CACHE // 2]
-            if unknown := set(part).difference(self.cache):
+            try:
+                found = ",".join(map(self.cache.__getitem__, part))
+            except KeyError:
+                unknown = set(part).difference(self.cache)
                 self.learn(unknown if len(self.cache) + len(unknown) <= CACHE else set(part))
-            found = list(map(self.cache.__getitem__, part))
-            n += sum([x[0] for x in found])
-            ids.update((("," if lo else "") + ",".join([x[1] for x in found])).encode())
-            decoded.update(b"".join([x[2] for x in found]))
+                found = ",".join(map(self.cache.__getitem__, part))
+            n += found.count(",") + 1
+            ids.update((("," if lo else "") + found).encode())
+            decoded.update(b"".join(map(self.decoded.__getitem__, part)))
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
