@@ -164,6 +164,27 @@ def test_top_k_equals_brute_force(spark):
     assert [(r.vec_id, r.score) for r in knn.top_k(big, big.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1024**2 * (6 * 10**12 - 1)), (2, 1024**2 * (-6 * 10**12 + 4))]
 
 
+def test_top_k_by_cells_sends_nothing_through_the_driver(spark, monkeypatch):
+    from tilewright.llm import knn
+
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1.0, 0.25, 0.5, 0.7, 3e6 if i == 77 else 0.1]) for _ in range(5)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name, n in (("SHARD", 40), ("BLOCK", 8), ("LEAF", 4), ("GROUP", 4), ("BAND", 16)):
+        monkeypatch.setattr(knn, name, n)
+    got = knn.top_k(df, df.where("vec_id % 10 = 0"))
+    # A join that Spark may broadcast is collected by the driver, whatever its size turns out to be.
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    import math
+
+    fine = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    want = []
+    for q, own in fine[::10]:
+        hits = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in fine if i != q)[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(hits)]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_queries_have_the_contract_columns(spark):
     assert views("/root/testdata/sf0.001").execute("SELECT count(*) FROM documents").fetchall()[0][0] == 200
     assert sorted(queries.QUERIES) == sorted(f"op{n}_" + queries_name for n, queries_name in ((1, "near_dedup"), (2, "quality_rules"), (3, "url_filter"), (4, "mixing"), (5, "quality_classifier"), (6, "top_k"), (7, "bpe"), (8, "suffix_dedup"), (9, "warc"), (10, "toxicity")))

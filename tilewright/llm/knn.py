@@ -6,7 +6,10 @@ allows with a query is sum(max(q*low, q*high)); nodes are visited best first and
 below the kth score so far.  Ties go to the smaller id, so a bound equal to the kth score is still visited.
 
 Queries are a stated set, and go block by block against every shard.  The first round searches one shard per block; its kth
-score is propagated to the second round, which searches all other shards and returns only what reaches it.
+score is propagated to the second round, which searches all other shards and returns only what reaches it.  The second round is
+dealt as cells of a band of blocks and a group of shards, so that a block is sent once for each group and a shard once for each
+band, and not once for each pair of them; a cell keeps the best of each query from shard to shard.  No join may be broadcast:
+nothing that grows with the tables passes through the driver, which gets their counts only.
 
 Defined cases: null vectors, vectors holding null or non-finite components and rows with a null id take no part, either as
 queries or as candidates; vectors of a length other than the longest common one raise an error; repeated rows are candidates
@@ -21,15 +24,18 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import dropped, trimmed, written
 
 #: Rows in a shard and in a block of queries (about), and rows in a leaf.
 SHARD, BLOCK, LEAF = 8192, 1024, 64
-_PACK = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("width", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("exact", T.BooleanType())])
+#: Shards in a group, and bytes of 64-bit numbers and queries in a band (about).
+GROUP, BAND_BYTES, BAND = 16, 32 << 20, 32768
+_PACK = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("width", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("bits", T.IntegerType()), T.StructField("exact", T.BooleanType())])
 
 
 class Tree:
@@ -61,9 +67,10 @@ class Tree:
         """(queries, nodes): the largest inner product each box allows."""
         return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
 
-    def search(self, q: np.ndarray, own: int, bound: np.ndarray, k: int, floor) -> list[tuple]:
-        """The best (score, -id) of one query, at most k, none below floor; floor is the kth score known from elsewhere."""
-        best: list[tuple] = []
+    def search(self, q: np.ndarray, own: int, bound: np.ndarray, k: int, floor, best: list[tuple] | None = None) -> list[tuple]:
+        """The best (score, -id) of one query, at most k, none below floor; floor is the kth score known from elsewhere, best a
+        heap of what trees before this one gave."""
+        best = [] if best is None else best
         queue = [(-bound[0], 0)]
         while queue:
             reach, node = heapq.heappop(queue)
@@ -103,46 +110,89 @@ def _packed(df: DataFrame, parts: int) -> DataFrame:
     """One row a part: ids and vectors as one block of bytes.  A part holds a bounded number of rows, dealt by hash."""
 
     def pack(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("id").to_pylist(), table.column("v").to_pylist(), strict=True))
-        width = max(len(v) for _, v in rows)
-        if any(len(v) != width for _, v in rows):
+        ids, v = (table.column(c).combine_chunks() for c in ("id", "v"))
+        width = pc.max(pc.list_value_length(v)).as_py()
+        if pc.min(pc.list_value_length(v)).as_py() != width:
             raise ValueError("vectors differ in length")
-        x = np.floor(np.array([v for _, v in rows], np.float64))
-        exact = bool(np.abs(x).max(initial=0) < 2**22) and width < 2**8
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "ids": pa.array([[i for i, _ in rows]], pa.list_(pa.int64())), "width": pa.array([width], pa.int32()), "data": pa.array([x.tobytes()], pa.binary()), "exact": pa.array([exact])})
+        ids = ids.to_numpy()
+        order = np.argsort(ids, kind="stable")
+        x = np.floor(v.flatten().to_numpy().reshape(-1, width)[order])
+        most = np.abs(x).max(initial=0)
+        bits = 16 if most < 2**15 else 32 if most < 2**31 else 64
+        data = x.astype({16: np.int16, 32: np.int32, 64: np.float64}[bits]).tobytes()
+        own = [[table.column("part")[0].as_py()], [ids[order]], [width], [data], [bits], [bool(most < 2**22) and width < 2**8]]
+        return pa.table([pa.array(c, t) for c, t in zip(own, (pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.int32(), pa.bool_()), strict=True)], names=_PACK.names)
 
     return df.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(pack, _PACK)
 
 
-def _matrix(data: bytes, width: int, exact: bool) -> np.ndarray:
-    x = np.frombuffer(data, np.float64).reshape(-1, width)
-    return x if exact else np.array([[int(c) for c in row] for row in x], dtype=object).reshape(-1, width)
+def _matrix(data: bytes, width: int, bits: int, exact: bool) -> np.ndarray:
+    x = np.frombuffer(data, {16: np.int16, 32: np.int32, 64: np.float64}[bits]).reshape(-1, width)
+    return x.astype(np.float64) if exact else np.array([[int(c) for c in row] for row in x.tolist()], dtype=object).reshape(-1, width)
 
 
 _HIT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
 
-def _searched(pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score) from rows (q_part, part, q_ids, q_data, floors, ids, width, data, exact): one tree a row."""
+class _Block:
+    """A block of queries in a cell, and the best of each query so far."""
 
+    def __init__(self, r: dict):
+        self.part, self.ids, self.width, self.exact, self.raw = r["part"], r["ids"], r["width"], r["exact"], (r["data"], r["width"], r["bits"])
+        floors = dict(r["floors"] or [])
+        self.floors, self.best, self.of = [floors.get(i) for i in self.ids], [[] for _ in self.ids], {}
+
+    def queries(self, exact: bool) -> np.ndarray:
+        if exact not in self.of:
+            self.of[exact] = _matrix(*self.raw, exact)
+        return self.of[exact]
+
+    def meet(self, r: dict, trees: dict, k: int) -> None:
+        if self.width != r["width"]:
+            raise ValueError("vectors differ in length")
+        exact = r["exact"] and self.exact
+        if exact not in trees:
+            trees[exact] = Tree(np.array(r["ids"], np.int64), _matrix(r["data"], r["width"], r["bits"], exact))
+        tree, q = trees[exact], self.queries(exact)
+        bounds = tree.bounds(q)
+        for i, own in enumerate(self.ids):
+            tree.search(q[i], own, bounds[i], k, self.floors[i], self.best[i])
+
+
+def _searched(blocks: DataFrame, trees: DataFrame, cells: int, k: int, skip: int = 0) -> DataFrame:
+    """(query_id, vec_id, score) of blocks (cell, and floors by query) and trees of the same cell, at most k a query and cell.
+
+    A cell's blocks come first and are held, then its trees one by one.  skip: a block passes over the tree numbered its own
+    number modulo skip."""
+
+    @trimmed
     def run(batches):
-        held, tree = None, None
+        cell, held = None, []
+
+        def ended():
+            out = [(own, -int(v), int(s)) for b in held for own, best in zip(b.ids, b.best, strict=True) for s, v in best]
+            for lo in range(0, len(out), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out[lo : lo + (1 << 16)]], pa.int64()) for j in range(3)], names=_HIT.names)
+
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["q_width"] != r["width"]:
-                    raise ValueError("vectors differ in length")
-                exact = r["exact"] and r["q_exact"]
-                if held != (r["part"], exact):
-                    held, tree = (r["part"], exact), Tree(np.array(r["ids"], np.int64), _matrix(r["data"], r["width"], exact))
-                q = _matrix(r["q_data"], r["width"], exact)
-                bounds = tree.bounds(q)
-                floors = dict(r["floors"] or [])
-                out = []
-                for i, own in enumerate(r["q_ids"]):
-                    out += [(own, -int(v), int(s)) for s, v in tree.search(q[i], own, bounds[i], k, floors.get(own))]
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(3)], names=_HIT.names)
-
-    return pairs.mapInArrow(run, _HIT)
+            for n in range(batch.num_rows):
+                (r,) = batch.slice(n, 1).to_pylist()
+                if r["cell"] != cell:
+                    yield from ended()
+                    cell, held = r["cell"], []
+                if not r["tree"]:
+                    held.append(_Block(r))
+                    continue
+                made: dict = {}
+                for b in held:
+                    if not skip or r["part"] != b.part % skip:
+                        b.meet(r, made, k)
+        yield from ended()
+
+    own = ["cell", "tree", *_PACK.names, "floors"]
+    both = blocks.withColumn("tree", F.lit(False)).select(own).unionByName(trees.withColumns({"tree": F.lit(True), "floors": F.lit(None).cast("map<bigint,bigint>")}).select(own))
+    # Twice as many partitions as cells, as a hash deals them.
+    return both.repartition(2 * cells, "cell").sortWithinPartitions("cell", "tree", "part").mapInArrow(run, _HIT)
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -155,17 +205,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
     """(query_id, rank, vec_id, score) for every row of `queries` against every row of `vectors`."""
     rows = written(integers(vectors, key, vector, scale), "vectors")
     asked = written(integers(queries, key, vector, scale).groupBy("id").agg(F.min("v").alias("v")), "queries")
-    shards = max(1, -(-rows.count() // SHARD))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    trees = written(_packed(rows, shards), "shards")
-    block = written(_packed(asked, blocks).select(F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"), F.col("exact").alias("q_exact")), "blocks")
-    # A block's first shard; the shard numbers that exist are told by the join itself.
-    first = block.withColumn("part", F.col("q_part") % F.lit(shards)).withColumn("floors", F.lit(None).cast("map<bigint,bigint>"))
-    hits = written(_searched(first.join(trees, "part"), k), "hits")
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    n_asked = asked.count()
+    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_asked // BLOCK))
+    trees, block = written(_packed(rows, shards), "shards"), written(_packed(asked, blocks), "blocks")
+    dropped(rows, asked)
+    # A block's first shard; shards that are nobody's first stay where they are.
+    firsts = min(shards, blocks)
+    first = block.withColumns({"cell": F.col("part") % F.lit(shards), "floors": F.lit(None).cast("map<bigint,bigint>")})
+    hits = written(_searched(first, trees.where(F.col("part") < firsts).withColumn("cell", F.col("part")), firsts, k), "hits")
     # The kth score of a query with k hits bounds all other shards.
     kth = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
-    owner = kth.withColumn("q_part", F.pmod(F.xxhash64(F.col("query_id")), F.lit(blocks)).cast("int"))
-    floors = owner.groupBy("q_part").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "kth"))).alias("floors"))
-    rest = block.join(floors, "q_part", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("part") != F.col("q_part") % F.lit(shards))
-    later = _searched(rest.join(trees, "part"), k)
+    owner = kth.withColumn("part", F.pmod(F.xxhash64(F.col("query_id")), F.lit(blocks)).cast("int"))
+    floors = owner.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "kth"))).alias("floors"))
+    bands = max(1, -(-n_asked // max(BLOCK, min(BAND, BAND_BYTES // (8 * max(1, width or 1))))))
+    groups = min(shards, max(-(-shards // GROUP), 2 * vectors.sparkSession.sparkContext.defaultParallelism))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asking = block.join(floors.hint("merge"), "part", "left").withColumn("group", each(groups)).withColumn("cell", F.col("part") % bands * groups + F.col("group"))
+    asked_of = trees.withColumn("band", each(bands)).withColumn("cell", F.col("band") * groups + F.col("part") % groups)
+    later = _searched(asking, asked_of, bands * groups, k, shards)
     return _best(hits.unionByName(later), k).select("query_id", "rank", "vec_id", "score")
