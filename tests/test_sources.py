@@ -268,3 +268,38 @@ def test_tiles_stream_through_small_batches(spark):
         of = sorted((code[r[1]], r[2], r) for r in rows if r[0] == t.x)
         plain = [{"class": c, "id": i, "flags": r[3], "rank": r[4], "name": r[5], "building": None, "vertices": r[6], "holes": r[7]} for c, i, r in of]
         assert bytes(t.content) == tilefile.encode(2, t.x, 1, plain, {tilefile.HEIGHTS_PACKED: b"packed"} if t.x == 0 else None)
+
+
+def test_round_trip_compares_all_of_both_sides(spark, tmp_path, monkeypatch):
+    from tilewright.plans import registry
+
+    keys = spark.range(200, 232).withColumnRenamed("id", "o_orderkey")
+    keys.write.parquet(str(tmp_path / "orders.parquet"))
+    made = tilefile.built
+
+    def rows(change):
+        monkeypatch.setattr(tilefile, "built", lambda f: change(f))
+        out = registry.QUERIES["tile_roundtrip"](spark, str(tmp_path)).collect()
+        return len(out), sum(r.same for r in out), sum(r.features == r.decoded for r in out)
+
+    n, same, counted = rows(made)
+    assert n == same == counted > 32
+    # As many features and vertices, but another rank, or a vertex moved, or the hole of another ring.
+    assert rows(lambda f: made(f.withColumn("rank", F.col("rank") + 1))) == (n, 0, n)
+    moved = F.transform("vertices", lambda p: F.struct((F.lit(65535) - p["x"]).alias("x"), p["y"].alias("y")))
+    assert rows(lambda f: made(f.withColumn("vertices", moved))) == (n, 0, n)
+    assert rows(lambda f: made(f.withColumn("holes", F.slice("holes", 2, 9))))[1] < n
+    # Features in another order, and tiles that are lost.
+    first, then, counted = rows(lambda f: made(f.withColumn("ordinal", -F.col("ordinal")).withColumn("id", F.lit(7))))
+    assert (first, counted) == (n, n) and then < n
+    assert rows(lambda f: made(f.where("class = 'Label'")))[0] == n
+
+
+def test_round_trip_digests_follow_the_order_of_a_tile(spark):
+    shape = "z int, x int, y int, class string, id long, flags int, rank int, name string, building struct<base_dm:int,top_dm:int,roof:string,material:string>, vertices array<struct<x:int,y:int>>, holes array<array<struct<x:int,y:int>>>, ordinal int"
+    high = {"base_dm": 1, "top_dm": 9, "roof": tilefile.style.ROOFS[1], "material": tilefile.style.MATERIALS[1]}
+    p = spark.createDataFrame([(2, 1, 1, "Building", 5, 0, 0, None, high, [(1, 2), (9, 2), (9, 9), (1, 2)], None, k) for k in (0, 1)] + [(2, 1, 1, "Label", 5, 0, 0, "é|", None, [(k, 2)], [], k) for k in (0, 1)], shape)
+    (r,) = tilefile.compared(p, tilefile.built(p)).collect()
+    assert r.same and (r.features, r.decoded, r.parts, r.vertices, r.vertices_decoded) == (4, 4, 4, 10, 10) and r.digest == r.digest_decoded
+    (r,) = tilefile.compared(p, tilefile.built(p.withColumn("ordinal", -F.col("ordinal")))).collect()
+    assert not r.same and r.vertices == r.vertices_decoded

@@ -110,10 +110,7 @@ def mesh_buckets(spark, sf_dir):
 def tile_roundtrip(spark, sf_dir):
     """Parts encoded as tiles and decoded again: features, vertices and digests of both sides."""
     f = written(parts.parts(vectors._features(spark, sf_dir), [8]), "parts")
-    t = written(tilefile.built(f), "tiles")
-    back = tilefile.decoded(t).groupBy("z", "x", "y").agg(F.count("*").alias("decoded"), F.sum(F.size("vertices")).alias("vertices"))
-    want = f.groupBy("z", "x", "y").agg(F.sum(F.size("vertices")).alias("want"))
-    return t.select("z", "x", "y", "features").join(back, ["z", "x", "y"]).join(want, ["z", "x", "y"]).select("z", "x", "y", "features", "decoded", (F.col("vertices") == F.col("want")).alias("same"))
+    return tilefile.compared(f, written(tilefile.built(f), "tiles"))
 
 
 @query(None)

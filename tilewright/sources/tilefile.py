@@ -158,7 +158,7 @@ def features(payload: bytes, version: int):
         yield {"id": fid, "flags": flags, "rank": rank, "name": name, "building": building, "vertices": vertices, "holes": holes}
 
 
-FEATURE = f"path string, z int, x int, y int, class int, id long, flags int, rank int, name string, building struct<base_dm:int,top_dm:int,roof:string,material:string>, vertices {VERTICES}, holes array<{VERTICES}>"
+FEATURE = f"path string, z int, x int, y int, class int, id long, flags int, rank int, name string, building struct<base_dm:int,top_dm:int,roof:string,material:string>, vertices {VERTICES}, holes array<{VERTICES}>, pos int"
 RASTER = "path string, z int, x int, y int, class int, content binary"
 
 
@@ -170,7 +170,8 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decoded(tiles: DataFrame, classes: list[int] | None = None) -> DataFrame:
-    """The features of tiles (path, content); sections of classes that are not asked for are skipped undecoded."""
+    """The features of tiles (path, content) with their place in the tile, counted over the sections that are asked for; other
+    sections are skipped undecoded."""
     wanted = None if classes is None else set(classes)
     schema = T._parse_datatype_string(FEATURE)
 
@@ -190,10 +191,12 @@ def decoded(tiles: DataFrame, classes: list[int] | None = None) -> DataFrame:
             for i in range(len(batch)):
                 path = batch.column(0)[i].as_py()
                 version, (z, x, y), parts = sections(batch.column(1)[i].as_py())
+                pos = 0
                 for c, payload in parts:
                     if c < RASTER_BASE and (wanted is None or c in wanted):
                         for f in features(payload, version):
-                            rows.append(f | {"path": path, "z": z, "x": x, "y": y, "class": c})
+                            rows.append(f | {"path": path, "z": z, "x": x, "y": y, "class": c, "pos": pos})
+                            pos += 1
                             if len(rows) >= BATCH_FEATURES:
                                 yield batch_of(rows)
                                 rows = []
@@ -289,6 +292,31 @@ def built(parts: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     return tiles.mapInArrow(run, schema)
 
 
+def _summed(features: DataFrame, code, order: list, names: list[str]) -> DataFrame:
+    """(z, x, y, features, vertices, digest) of each tile, the last three named by names; digest is one SHA-256 over those of the
+    features in order, each over all that a tile holds of a feature.  Only digests are shuffled."""
+    name, holes = F.coalesce("name", F.lit("")), F.transform(F.coalesce("holes", F.array()), lambda h: F.coalesce(h, F.array()))
+    whole = F.struct(code.alias("class"), "id", "flags", "rank", name.alias("name"), "building", "vertices", holes.alias("holes"))
+    n = F.size("vertices") + F.aggregate(holes, F.lit(0), lambda s, h: s + F.size(h))
+    own = features.select("z", "x", "y", n.cast("long").alias("n"), F.struct(*order, F.sha2(F.to_json(whole), 256).alias("digest")).alias("at"))
+    lines = F.concat_ws("\n", F.transform(F.sort_array(F.collect_list("at")), lambda r: r["digest"]))
+    return own.groupBy("z", "x", "y").agg(*(c.alias(k) for c, k in zip((F.count("*"), F.sum("n"), F.sha2(lines, 256)), names, strict=True)))
+
+
+def compared(parts: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Parts against tiles (as of built()) and what is decoded from them, tile by tile: features as the tiles tell them and as
+    decoded, whether all is the same, and parts, vertices (those of holes too) and digests of both sides.  A tile that one side
+    lacks has a row, and is not the same."""
+    code = style.class_code(F.col("class"))
+    order = [code.alias("code"), "id", *(F.col(c) if c in parts.columns else F.lit(0).alias(c) for c in ("layer_id", "ordinal"))]
+    want = _summed(parts, code, order, ["parts", "vertices", "digest"])
+    back = _summed(decoded(tiles), F.col("class"), ["pos"], ["decoded", "vertices_decoded", "digest_decoded"])
+    same = F.expr("parts <=> features and parts <=> decoded and vertices <=> vertices_decoded and digest <=> digest_decoded")
+    tile = ["z", "x", "y"]
+    met = want.join(tiles.select(*tile, "features"), tile, "full").join(back, tile, "full").withColumn("same", same)
+    return met.select(*tile, "features", "decoded", "same", "parts", "vertices", "vertices_decoded", "digest", "digest_decoded")
+
+
 def written(tiles: DataFrame, folder: str) -> DataFrame:
     """Write each tile to folder/z/x/y.mt2 through pyarrow's file systems; returns (path, digest, bytes) of what was written."""
     schema = T._parse_datatype_string("path string, digest string, bytes long")
